@@ -64,14 +64,17 @@ def fit_encoder(kinds: DataFrame, spec: FeatureSpec, rows: str = "rows", max_lev
     levels = {c: [r["level"] for r in ranked if r["feature"] == c] for c in spec.features}
     index = [f"{c}_index" for c in spec.features]
     slots = [f"{c}_slots" for c in spec.features]
-    indexer = StringIndexerModel.from_arrays_of_labels(
-        [levels[c] for c in spec.features], inputCols=list(spec.features), outputCols=index, handleInvalid="error"
+    indexers = PipelineModel(
+        [
+            StringIndexerModel.from_labels(levels[c], inputCol=c, outputCol=i, handleInvalid="error")
+            for c, i in zip(spec.features, index, strict=True)
+        ]
     )
-    # The indexer states the number of levels in the column metadata; fitting the
+    # The indexers state the number of levels in the column metadata; fitting the
     # one-hot stage reads that and no rows.
-    onehot = OneHotEncoder(inputCols=index, outputCols=slots, dropLast=True).fit(indexer.transform(kinds))
+    onehot = OneHotEncoder(inputCols=index, outputCols=slots, dropLast=True).fit(indexers.transform(kinds))
     vector = VectorAssembler(inputCols=slots, outputCol="features")
-    return Encoder(spec, levels, PipelineModel([indexer, onehot, vector]))
+    return Encoder(spec, levels, PipelineModel([indexers, onehot, vector]))
 
 
 def encode_features(df: DataFrame, spec: FeatureSpec) -> tuple[DataFrame, Encoder]:

@@ -8,34 +8,45 @@ What makes 9 configurations x 4 folds x 3 families cheap at any size:
 * A decision threshold does not change a fit. It is applied to the scores, which
   leaves 2 x 3 x 4 linear fits and 9 x 4 tree fits.
 * Fits are independent Spark jobs and run side by side.
-* All models of a fold score the fold together, and only counts leave the executors.
+* Test rows are scored and counted on the executors; only counts leave them.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from multiprocessing.pool import ThreadPool
+from typing import TypeVar
 
 from pyspark.ml import Model
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.util import inheritable_thread_target
 
 from caseloom import domain as D
 from caseloom.domain import FeatureSpec
 from caseloom.operators import classify
-from caseloom.operators.clean import bind_rows, complete_cases
+from caseloom.operators.clean import complete_cases
 from caseloom.operators.features import Encoder, feature_kinds, fit_encoder
 from caseloom.operators.folds import fold_pairs, random_folds, split_heavy, stratified_folds
-from caseloom.operators.metrics import confusion, fold_mean, metrics_positive, metrics_weighted
+from caseloom.operators.metrics import CELL_NAMES, COUNTS, fold_mean, metrics_positive, metrics_weighted
 from caseloom.sources.sinks import write_stage
 
 LOGISTIC, TREE, SVC = "logistic", "tree", "svc"
 FAMILIES = (LOGISTIC, TREE, SVC)
-CONFIG = ("family", "max_iter", "threshold", "min_instances", "max_depth")
+CONFIG_TYPES = {
+    "family": "string",
+    "max_iter": "int",
+    "threshold": "double",
+    "min_instances": "int",
+    "max_depth": "int",
+}
+CONFIG = tuple(CONFIG_TYPES)
+
+T = TypeVar("T")
+U = TypeVar("U")
 
 # Rows a compressed table may be unfolded into for the linear fits. The deviation by
 # which MLlib scales features has a factor that depends on the spread of weights; with
@@ -61,10 +72,6 @@ class Fit:
     first: int  # max_iter, or min_instances for a tree
     second: int = 0  # max_depth for a tree
 
-    @property
-    def name(self) -> str:
-        return f"{self.family}_{self.first}_{self.second}"
-
 
 @dataclass(frozen=True)
 class FoldTable:
@@ -122,73 +129,90 @@ def linear_rows(table: DataFrame, total: int, resolution: int = RESOLUTION) -> D
 
 def _fits(grid: Grid, folds: Sequence[int]) -> list[Fit]:
     linear = [f for f in grid.families if f != TREE]
-    fits = [Fit(i, f, m) for f in linear for m in grid.max_iters for i in folds]
+    fits = [Fit(i, f, m) for f in linear for m in sorted(grid.max_iters, reverse=True) for i in folds]
     if TREE in grid.families:
-        fits += [Fit(i, TREE, m, d) for d in sorted(grid.max_depths, reverse=True) for m in grid.min_instances for i in folds]
+        depths = sorted(grid.max_depths, reverse=True)
+        fits += [Fit(i, TREE, m, d) for d in depths for m in grid.min_instances for i in folds]
     return fits
 
 
-def _scores(fit: Fit, model: Model, grid: Grid, table: DataFrame) -> tuple[DataFrame, list[Column]]:
-    """Add the score of one model to the table and list the labels it gives, one per
-    configuration."""
-    def labelled(predicted: Column, max_iter=None, threshold=None, min_instances=None, max_depth=None) -> Column:
-        values = (fit.family, max_iter, threshold, min_instances, max_depth)
-        types = ("string", "int", "double", "int", "int")
-        named = [F.lit(v).cast(t).alias(c) for c, v, t in zip(CONFIG, values, types, strict=True)]
-        return F.struct(*named, predicted.cast("int").alias("predicted"))
-
-    if fit.family == TREE:
-        shown = model.copy().setPredictionCol(fit.name).setProbabilityCol("").setRawPredictionCol("")
-        label = labelled(F.col(fit.name), min_instances=fit.first, max_depth=fit.second)
-        return shown.transform(table), [label]
-    shown = model.copy().setPredictionCol("").setRawPredictionCol(fit.name)
-    if fit.family == LOGISTIC:
-        shown = shown.setProbabilityCol("")
-    margin = vector_to_array(F.col(fit.name))[1]
-    labels = []
-    for t in grid.thresholds:
-        bound = math.log(t / (1.0 - t)) if fit.family == LOGISTIC else t
-        labels.append(labelled(margin > F.lit(bound), max_iter=fit.first, threshold=t))
-    return shown.transform(table), labels
+def _side_by_side(fn: Callable[[T], U], items: Sequence[T], spark: SparkSession, parallelism: int) -> list[U]:
+    """Run independent Spark jobs from a few driver threads; order is kept."""
+    with ThreadPool(max(1, min(parallelism, len(items)))) as pool:
+        return pool.map(inheritable_thread_target(spark)(fn), items, chunksize=1)
 
 
 def fit_grid(
     folds: FoldTable, grid: Grid = Grid(), resolution: int = RESOLUTION, parallelism: int = 8
 ) -> dict[Fit, Model]:
-    """Fit every model of the grid on the training part of every fold."""
+    """Fit every model of the grid on the training part of every fold, the longest fits first."""
+    k = len(folds.sizes)
     table = folds.table.persist()
     linear = linear_rows(folds.table, folds.total, resolution).persist()
-    trains = {i: train for i, train, _ in fold_pairs(table, len(folds.sizes))}
-    linear_trains = {i: train for i, train, _ in fold_pairs(linear, len(folds.sizes))}
+    tree_train = {i: train for i, train, _ in fold_pairs(table, k)}
+    linear_train = {i: train for i, train, _ in fold_pairs(linear, k)}
 
     def run(fit: Fit) -> Model:
         if fit.family == TREE:
             size = folds.total - folds.sizes[fit.fold]
-            return classify.fit_tree(trains[fit.fold], fit.second, fit.first, "cases", size)
+            return classify.fit_tree(tree_train[fit.fold], fit.second, fit.first, "cases", size)
         estimator = classify.fit_logistic if fit.family == LOGISTIC else classify.fit_svc
-        return estimator(linear_trains[fit.fold], fit.first, weight="cases")
+        return estimator(linear_train[fit.fold], fit.first, weight="cases")
 
     fits = _fits(grid, sorted(folds.sizes))
-    with ThreadPool(min(parallelism, len(fits))) as pool:
-        models = pool.map(inheritable_thread_target(table.sparkSession)(run), fits, chunksize=1)
-    table.unpersist()
-    linear.unpersist()
+    try:
+        models = _side_by_side(run, fits, table.sparkSession, parallelism)
+    finally:
+        table.unpersist()
+        linear.unpersist()
     return dict(zip(fits, models, strict=True))
 
 
-def score_grid(folds: FoldTable, models: dict[Fit, Model], grid: Grid = Grid()) -> DataFrame:
-    """Confusion counts of every configuration on every test fold."""
-    parts = []
-    for i, _, test in fold_pairs(folds.table, len(folds.sizes)):
-        labels: list[Column] = []
-        for fit, model in models.items():
-            if fit.fold == i:
-                test, more = _scores(fit, model, grid, test)
-                labels += more
-        parts.append(test.select("fold", "label", "cases", F.inline(F.array(*labels))))
-    return confusion(
-        bind_rows(*parts), "label", "predicted", [*CONFIG, "fold"], actual_values=(0.0, 1.0), weight="cases"
-    )
+def _configs(fit: Fit, grid: Grid) -> list[tuple]:
+    """The configurations a fit serves: one for a tree, else one per threshold."""
+    if fit.family == TREE:
+        return [(TREE, None, None, fit.first, fit.second)]
+    return [(fit.family, fit.first, t, None, None) for t in grid.thresholds]
+
+
+def _labels(fit: Fit, grid: Grid) -> list[Column]:
+    """The 0/1 label of a scored row under each of :func:`_configs`."""
+    if fit.family == TREE:
+        return [F.col("prediction").cast("int")]
+    margin = vector_to_array(F.col("rawPrediction"))[1]
+    if fit.family == SVC:
+        return [(margin > t).cast("int") for t in grid.thresholds]
+    # A probability is above t exactly where its log-odds are above those of t.
+    return [(margin > math.log(t / (1.0 - t))).cast("int") for t in grid.thresholds]
+
+
+def score_grid(
+    folds: FoldTable, models: dict[Fit, Model], grid: Grid = Grid(), parallelism: int = 8
+) -> DataFrame:
+    """Confusion counts of every configuration on every test fold.
+
+    Test rows are grouped by label and predicted labels where they are. What reaches
+    the driver is at most 16 sums per model and fold, whatever the table holds.
+    """
+    tests = {i: test for i, _, test in fold_pairs(folds.table, len(folds.sizes))}
+
+    def count(item: tuple[Fit, Model]) -> list[tuple]:
+        fit, model = item
+        labels = [c.alias(f"predicted_{i}") for i, c in enumerate(_labels(fit, grid))]
+        scored = classify.predict(model, tests[fit.fold]).select(F.col("label").cast("int"), *labels, "cases")
+        found = scored.groupBy(*scored.columns[:-1]).agg(F.sum("cases")).collect()
+        rows = []
+        for i, config in enumerate(_configs(fit, grid)):
+            counts = dict.fromkeys(COUNTS, 0)
+            for label, *predicted, cases in found:
+                counts[CELL_NAMES[label, predicted[i]]] += cases
+            rows.append((*config, fit.fold, *counts.values()))
+        return rows
+
+    spark = folds.table.sparkSession
+    rows = [r for found in _side_by_side(count, list(models.items()), spark, parallelism) for r in found]
+    columns = [*[f"{c} {t}" for c, t in CONFIG_TYPES.items()], "fold int", *[f"{c} bigint" for c in COUNTS]]
+    return spark.createDataFrame(rows, ", ".join(columns))
 
 
 def grid_search(
@@ -202,15 +226,10 @@ def grid_search(
     resolution: int = RESOLUTION,
     parallelism: int = 8,
 ) -> DataFrame:
-    """Confusion counts and both sets of metrics per configuration and fold.
-
-    The result is written to the shared folder, a few rows, so that ranking and
-    averaging it do not score the models again.
-    """
+    """Confusion counts and both sets of metrics per configuration and fold."""
     folds = fold_table(df, spec, k, how, seed, compress)
     models = fit_grid(folds, grid, resolution, parallelism)
-    counts = write_stage(score_grid(folds, models, grid), "grid")
-    return metrics_weighted(metrics_positive(counts))
+    return metrics_weighted(metrics_positive(score_grid(folds, models, grid, parallelism)))
 
 
 def grid_summary(results: DataFrame) -> DataFrame:

@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from caseloom import domain as D
 from caseloom.functions import ratio
 
-COUNTS = ("tn", "fn", "fp", "tp")
+# (actual, predicted) -> name; 1 is the positive class
+CELL_NAMES = {(0, 0): "tn", (1, 0): "fn", (0, 1): "fp", (1, 1): "tp"}
+COUNTS = tuple(CELL_NAMES.values())
 METRICS = ("accuracy", "precision", "recall", "f1")
 POSITIVE = ("accuracy", "precision", "recall", "f1")
 WEIGHTED = ("weighted_accuracy", "weighted_precision", "weighted_recall", "weighted_f1")
@@ -18,8 +20,8 @@ WEIGHTED = ("weighted_accuracy", "weighted_precision", "weighted_recall", "weigh
 
 def confusion(
     df: DataFrame,
-    actual: str | Column,
-    predicted: str | Column,
+    actual: str,
+    predicted: str,
     keys: Sequence[str] = (),
     actual_values: tuple = (D.NO, D.YES),
     predicted_values: tuple = (0, 1),
@@ -27,27 +29,14 @@ def confusion(
 ) -> DataFrame:
     """The four counts per key. All four are always there; what was never seen is 0."""
     pair = df.select(
-        *keys,
-        (F.col(actual) if isinstance(actual, str) else actual).alias("_actual"),
-        (F.col(predicted) if isinstance(predicted, str) else predicted).alias("_predicted"),
-        (F.lit(1).cast("bigint") if weight is None else F.col(weight).cast("bigint")).alias("_cases"),
-    )
-    cells = {
-        "tn": (actual_values[0], predicted_values[0]),
-        "fn": (actual_values[1], predicted_values[0]),
-        "fp": (actual_values[0], predicted_values[1]),
-        "tp": (actual_values[1], predicted_values[1]),
-    }
-    return pair.groupBy(*keys).agg(
-        *[
-            F.coalesce(
-                F.sum(F.when((F.col("_actual") == a) & (F.col("_predicted") == p), F.col("_cases"))), F.lit(0)
-            )
-            .cast("bigint")
-            .alias(name)
-            for name, (a, p) in cells.items()
-        ]
+        *keys, F.col(actual).alias("actual"), F.col(predicted).alias("predicted"), *([weight] if weight else [])
     )
+    cases = F.lit(1) if weight is None else F.col(weight)
+    counts = []
+    for (a, p), name in CELL_NAMES.items():
+        seen = (F.col("actual") == actual_values[a]) & (F.col("predicted") == predicted_values[p])
+        counts.append(F.coalesce(F.sum(F.when(seen, cases)).cast("bigint"), F.lit(0)).alias(name))
+    return pair.groupBy(*keys).agg(*counts)
 
 
 def _harmonic(p: Column, r: Column, undefined: Column) -> Column:

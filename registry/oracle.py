@@ -148,8 +148,7 @@ def _both(yes: str, no: str) -> str:
 
 STATE_MEANS = f"""{_pairs("res_state, fold")},
 scored as (
-select res_state, {_round(ACCURACY, "accuracy")}, {_round(PRECISION, "precision")},
- {_round(RECALL, "recall")}, {_round(F1, "f1")} from matrix
+select res_state, {ACCURACY} as accuracy, {PRECISION} as precision, {RECALL} as recall, {F1} as f1 from matrix
 ),
 means as (
 select res_state, {_round("avg(accuracy)", "accuracy")}, {_round("avg(precision)", "precision")},

@@ -254,9 +254,7 @@ def metrics_weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _by_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = _hosp_for_death(spark, sf_dir, ["res_state", "fold"])
-    return metrics.fold_mean(
-        rounded(metrics.metrics_positive(counts)), ["res_state"], metrics.POSITIVE
-    )
+    return metrics.fold_mean(metrics.metrics_positive(counts), ["res_state"], metrics.POSITIVE)
 
 
 def fold_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
