@@ -215,6 +215,7 @@ def _grid_rows() -> str:
 
 
 ORACLES: dict[str, str] = {
+    "case_table": f"with {CASES_SQL} select * from cases",
     "src_csv_roundtrip": f"with {CASES_SQL} select {RAW_COLUMNS} from cases",
     "src_parquet_roundtrip": f"{WITH_COHORT} select {RAW_COLUMNS} from cohort",
     "flagship": OUTCOME_SHARE,

@@ -20,7 +20,7 @@ from caseloom.plans import models as M
 from caseloom.plans import reports as R
 from caseloom.sources import read_cases, register_table, save_table
 from caseloom.sources.sinks import stage_path, write_stage
-from registry.fixture import STATE, cases, cohort
+from registry.fixture import STATE, cases, cohort, derive_cases
 
 DIGITS = 6
 TOP = 5000
@@ -38,6 +38,10 @@ def rounded(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
 # --- sources and sinks --------------------------------------------------------
 
 
+def case_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return derive_cases(spark, sf_dir)
+
+
 def src_csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = stage_path(spark, "csv")
     save_table(cases(spark, sf_dir).drop("case_id"), path, format="csv")
@@ -341,6 +345,7 @@ def cluster_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     q.__name__: q
     for q in (
+        case_table,
         src_csv_roundtrip,
         src_parquet_roundtrip,
         flagship,
