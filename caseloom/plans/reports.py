@@ -74,10 +74,11 @@ def outcome_rows(cohort: DataFrame) -> DataFrame:
 
 
 def outcome_share(cohort: DataFrame, weight: str | None = None) -> DataFrame:
-    """Outcomes per age group and sex: count, percent, and share of the full bar."""
+    """Outcomes per age group and sex: count, percent, and share of the full bar. The
+    share is taken from the counts, whose sum does not depend on the order of rows."""
     counts = A.count_by(outcome_rows(cohort), ["age_group", "sex", "outcome"], "count", weight)
     percent = S.share_within(counts, ["age_group", "sex"], "count")
-    return S.share_within(percent, ["age_group", "sex"], "percent", "share", 1.0)
+    return S.share_within(percent, ["age_group", "sex"], "count", "share", 1.0)
 
 
 def share_of_cases(cohort: DataFrame, column: str, weight: str | None = None) -> DataFrame:

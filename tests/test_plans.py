@@ -1,0 +1,93 @@
+"""What the plans look like: pushdown, pruning, shuffles, nothing row by row."""
+
+from __future__ import annotations
+
+import re
+
+import pytest
+
+from caseloom.operators import aggregate as A
+from caseloom.operators.folds import split_random
+from caseloom.plans import reports as R
+from registry.fixture import cohort
+from registry.queries import QUERIES
+
+# These fit models; their tables are looked at in the other tests.
+LAZY = sorted(n for n in QUERIES if not re.search("fit_|grid_|kmeans", n))
+
+
+def plan(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def shuffles(df) -> int:
+    return len(re.findall(r"Exchange (hash|range|Single)", plan(df)))
+
+
+@pytest.mark.parametrize("name", LAZY)
+def test_nothing_leaves_the_jvm_and_no_cross_join(spark, data, name):
+    text = plan(QUERIES[name](spark, data))
+    assert not re.search("Python|ArrowEval|CartesianProduct|BroadcastNestedLoopJoin", text)
+
+
+def test_cohort_filter_reaches_the_scan(spark, data):
+    text = plan(A.count_by(cohort(spark, data), ["sex"]))
+    pushed = re.search(r"PushedFilters: \[(.*?)\], ReadSchema", text).group(1)
+    assert "EqualTo(current_status,Laboratory-confirmed case)" in pushed
+    for name in ("case_month", "age_group", "res_state"):
+        assert f"IsNotNull({name})" in pushed and f"Not(In({name}, [Missing,NA,Unknown]))" in pushed
+    read = re.search(r"ReadSchema: struct<(.*?)>", text).group(1)
+    assert {c.split(":")[0] for c in read.split(",")} == {"case_month", "age_group", "res_state", "sex", "current_status"}
+
+
+def test_counts_are_combined_before_the_one_shuffle(spark, data):
+    df = A.death_cells(cohort(spark, data))
+    text = plan(df)
+    assert shuffles(df) == 1
+    assert text.index("partial_sum") > text.index("Exchange hash")  # printed from the top down
+
+
+def test_describe_and_correlation_are_one_pass(spark, data):
+    for df in (R.interval_description(cohort(spark, data)), R.correlation(cohort(spark, data))):
+        assert plan(df).count("FileScan") == 1
+        assert shuffles(df) == 1
+
+
+def test_share_of_total_has_no_window_over_everything(spark, data):
+    df = R.share_of_cases(cohort(spark, data), "race")
+    assert "Window" not in plan(df)
+    df.collect()
+    assert "ReusedExchange" in plan(df) or "ReusedSubquery" in plan(df)
+
+
+def test_top_n_sorts_within_partitions_first(spark, data):
+    assert "TakeOrderedAndProject" in plan(QUERIES["topn_ordered"](spark, data))
+
+
+def test_one_part_of_a_split_reads_its_own_files(spark, data):
+    parts = split_random(R.model_rows(cohort(spark, data)))
+    assert re.search(r"PartitionFilters: \[.*part#\d+ = 2\)", plan(parts[2]))
+
+
+def test_reports_from_a_tally_equal_reports_from_rows(spark, data):
+    people = cohort(spark, data)
+    tally = R.cohort_tally(people)
+    assert tally.count() < people.count()
+    for report in (R.cases_by_age, R.icu_by_age, R.outcome_share, R.cases_by_age_sex, R.outcome_contingency, A.death_cells):
+        rows = sorted(map(str, report(people).collect()))
+        assert rows == sorted(map(str, report(tally, weight="rows").collect()))
+    for column in ("race", "sex"):
+        rows = sorted(map(str, R.share_of_cases(people, column).collect()))
+        assert rows == sorted(map(str, R.share_of_cases(tally, column, weight="rows").collect()))
+    rows = sorted(map(str, R.monthly_state(people, "NATION_3").collect()))
+    assert rows == sorted(map(str, R.monthly_state(tally, "NATION_3", weight="rows").collect()))
+    assert sorted(map(str, A.profile(people, R.REPORT_COLUMNS).collect())) == sorted(
+        map(str, A.profile(tally, R.REPORT_COLUMNS, weight="rows").collect())
+    )
+
+
+def test_results_do_not_depend_on_partitioning(spark, data):
+    people = cohort(spark, data)
+    spread = people.repartition(7)
+    for report in (R.outcome_share, R.icu_by_age, A.death_cells, R.outcome_contingency):
+        assert sorted(map(str, report(people).collect())) == sorted(map(str, report(spread).collect()))
