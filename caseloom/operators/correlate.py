@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from itertools import combinations
+from itertools import combinations, combinations_with_replacement
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -13,7 +13,7 @@ from caseloom import functions as X
 from caseloom.operators.clean import complete_cases
 
 
-def correlation_codes(df: DataFrame) -> DataFrame:
+def correlation_codes(df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     """The five coded columns of the case table that are correlated."""
     return df.select(
         X.ordinal("age_group", D.AGE_GROUPS).alias("age_group_index"),
@@ -21,29 +21,57 @@ def correlation_codes(df: DataFrame) -> DataFrame:
         X.binary("death_yn").alias("death_yn_index"),
         X.binary("symptom_status", D.SYMPTOMATIC, D.ASYMPTOMATIC).alias("symptom_status_index"),
         X.binary("underlying_conditions_yn").alias("underlying_conditions_yn_index"),
+        *keep,
     )
 
 
-def correlation_matrix(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+def _row_moments(columns: list[str]) -> dict[tuple[str, str], Column]:
+    moments = {(c, c): F.var_pop(c) for c in columns}
+    return moments | {(a, b): F.covar_pop(a, b) for a, b in combinations(columns, 2)}
+
+
+def _weighted_moments(columns: list[str], weight: str) -> dict[tuple[str, str], Column]:
+    w = F.col(weight).cast("double")
+
+    def mean(value: Column) -> Column:
+        return F.sum(w * value) / F.nullif(F.sum(w), F.lit(0.0))
+
+    return {
+        (a, b): mean(F.col(a) * F.col(b)) - mean(F.col(a)) * mean(F.col(b))
+        for a, b in combinations_with_replacement(columns, 2)
+    }
+
+
+def correlation_matrix(
+    df: DataFrame, columns: Sequence[str] | None = None, weight: str | None = None
+) -> DataFrame:
     """The whole matrix as rows ``(x, y, r)`` over complete cases, in one pass.
 
     Variances are shared by all pairs. The diagonal is 1; a pair with a constant
-    column has no correlation and gives NULL.
+    column has no correlation and gives NULL. With ``weight`` the rows are a tally;
+    that form suits codes, which are small whole numbers.
     """
-    columns = list(columns or df.columns)
-    moments = complete_cases(df, columns).agg(
-        *[F.var_pop(c).alias(f"v:{c}") for c in columns],
-        *[F.covar_pop(a, b).alias(f"c:{a}:{b}") for a, b in combinations(columns, 2)],
+    columns = [c for c in (columns or df.columns) if c != weight]
+    extra = [] if weight is None else [weight]
+    moments = _row_moments(columns) if weight is None else _weighted_moments(columns, weight)
+    wide = complete_cases(df, [*columns, *extra]).agg(
+        *[F.min(c).alias(f"{c}:min") for c in columns],
+        *[F.max(c).alias(f"{c}:max") for c in columns],
+        *[m.alias(f"{a}:{b}") for (a, b), m in moments.items()],
     )
 
+    def deviation(c: str) -> Column:
+        return F.when(F.col(f"`{c}:min`") < F.col(f"`{c}:max`"), F.sqrt(F.col(f"`{c}:{c}`")))
+
+    deviations = wide.withColumns({f"{c}:dev": deviation(c) for c in columns})
+
     def r(a: str, b: str) -> Column:
         if a == b:
             return F.lit(1.0)
         first, second = sorted((a, b), key=columns.index)
-        spread = F.sqrt(F.col(f"`v:{a}`")) * F.sqrt(F.col(f"`v:{b}`"))
-        return F.col(f"`c:{first}:{second}`") / F.nullif(spread, F.lit(0.0))
+        return F.col(f"`{first}:{second}`") / (F.col(f"`{a}:dev`") * F.col(f"`{b}:dev`"))
 
     cells = [
         F.struct(F.lit(a).alias("x"), F.lit(b).alias("y"), r(a, b).alias("r")) for a in columns for b in columns
     ]
-    return moments.select(F.inline(F.array(*cells)))
+    return deviations.select(F.inline(F.array(*cells)))

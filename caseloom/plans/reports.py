@@ -28,6 +28,9 @@ REPORT_COLUMNS = (
 )
 
 
+CORRELATED = ("age_group", "hosp_yn", "death_yn", "symptom_status", "underlying_conditions_yn")
+
+
 def cohort_tally(cohort: DataFrame) -> DataFrame:
     """One scan of the cohort for all reports: its distinct rows over
     ``REPORT_COLUMNS`` with their number in ``rows``, written to the shared folder.
@@ -99,8 +102,11 @@ def interval_description(cohort: DataFrame) -> DataFrame:
     return A.describe_numeric(A.valid_intervals(cohort), D.INTERVALS)
 
 
-def correlation(cohort: DataFrame) -> DataFrame:
-    return correlation_matrix(correlation_codes(cohort))
+def correlation(cohort: DataFrame, weight: str | None = None) -> DataFrame:
+    """Correlations of the coded columns. The five columns are categories, so their
+    distinct rows are counted first and the moments come from a few hundred rows."""
+    kinds = A.tally(cohort, CORRELATED, "rows", weight)
+    return correlation_matrix(correlation_codes(kinds, ["rows"]), weight="rows")
 
 
 def model_rows(cohort: DataFrame) -> DataFrame:

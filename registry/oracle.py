@@ -267,6 +267,7 @@ from counted c join summed s on c.age_group = s.age_group and c.death_yn = s.dea
 valid as (select * from cohort where case_positive_specimen_interval >= 0 and case_onset_interval >= 0)
 {_describe("case_positive_specimen_interval")} union all {_describe("case_onset_interval")}""",
     "correlation": CORRELATION,
+    "correlation_rows": CORRELATION,
     "death_cells": f"{CELLS} select * from cells",
     "death_cells_tally": f"{CELLS} select * from cells",
     "split_random_union": f"{MODEL} select * from model",

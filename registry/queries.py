@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from caseloom import domain as D
 from caseloom import functions as X
 from caseloom.operators import aggregate as A
-from caseloom.operators import classify, clean, cluster, features, folds, grid, metrics
+from caseloom.operators import classify, clean, cluster, correlate, features, folds, grid, metrics
 from caseloom.plans import models as M
 from caseloom.plans import reports as R
 from caseloom.sources import read_cases, register_table, save_table
@@ -181,6 +181,10 @@ def correlation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(R.correlation(cohort(spark, sf_dir)))
 
 
+def correlation_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(correlate.correlation_matrix(correlate.correlation_codes(cohort(spark, sf_dir))))
+
+
 def death_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.death_cells(cohort(spark, sf_dir))
 
@@ -373,6 +377,7 @@ QUERIES: dict[str, Query] = {
         profile,
         describe_intervals,
         correlation,
+        correlation_rows,
         death_cells,
         death_cells_tally,
         split_random,

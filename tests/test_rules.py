@@ -122,7 +122,10 @@ def test_constant_column_has_no_correlation(spark):
     assert got["a", "a"] == got["c", "c"] == 1.0
     assert got["a", "b"] == got["b", "a"] == pytest.approx(0.98974331861, abs=1e-9)
     assert got["a", "c"] is None and got["c", "b"] is None
-    nothing = rows(correlation_matrix(df.filter("false")))
+    counted = correlation_matrix(A.tally(df, df.columns, "n"), weight="n")
+    for x, y, r in rows(counted):
+        assert r == (got[x, y] if got[x, y] is None else pytest.approx(got[x, y], abs=1e-12))
+    nothing = rows(correlation_matrix(df.filter("false"))) + rows(correlation_matrix(df.filter("false").withColumn("n", F.lit(1)), weight="n"))
     assert {r for x, y, r in nothing if x != y} == {None}
 
 
