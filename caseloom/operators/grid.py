@@ -50,7 +50,7 @@ U = TypeVar("U")
 
 # Rows a compressed table may be unfolded into for the linear fits. The deviation by
 # which MLlib scales features has a factor that depends on the spread of weights; with
-# this many rows it is within 1/(2*RESOLUTION) of the row-level one.
+# this many rows it is within 1/RESOLUTION of the row-level one.
 RESOLUTION = 100_000
 
 

@@ -13,7 +13,7 @@ from caseloom.functions import ratio
 # (actual, predicted) -> name; 1 is the positive class
 CELL_NAMES = {(0, 0): "tn", (1, 0): "fn", (0, 1): "fp", (1, 1): "tp"}
 COUNTS = tuple(CELL_NAMES.values())
-METRICS = ("accuracy", "precision", "recall", "f1")
+COMPARED_DIGITS = 12
 POSITIVE = ("accuracy", "precision", "recall", "f1")
 WEIGHTED = ("weighted_accuracy", "weighted_precision", "weighted_recall", "weighted_f1")
 
@@ -85,12 +85,17 @@ def fold_mean(df: DataFrame, config: Sequence[str], metrics: Sequence[str] = (*P
     return df.groupBy(*config).agg(*[F.avg(m).alias(m) for m in metrics])
 
 
+def _comparable(metric: str) -> Column:
+    """The value as it is compared: NULL for NaN (Spark would sort NaN above every
+    number), and without the last digits, which depend on the order of a sum."""
+    return F.round(F.nullif(F.col(metric), F.lit(float("nan"))), COMPARED_DIGITS)
+
+
 def rank_configs(df: DataFrame, metric: str) -> DataFrame:
-    """Configurations from best to worst; one without a value for the metric is last
-    (Spark would sort NaN above every number)."""
+    """Configurations from best to worst; those without a value for the metric are last
+    and equals are in the order of their other columns."""
     others = [c for c in df.columns if c not in (*POSITIVE, *WEIGHTED)]
-    value = F.nullif(F.col(metric), F.lit(float("nan")))
-    return df.orderBy(value.desc_nulls_last(), *others)
+    return df.orderBy(_comparable(metric).desc_nulls_last(), *others)
 
 
 def best_configs(
@@ -98,8 +103,9 @@ def best_configs(
 ) -> DataFrame:
     """The best configuration for every metric, per group ``within``; between equals
     the first one in the order of the configuration columns."""
-    named = [F.struct(F.lit(m).alias("metric"), F.nullif(F.col(m), F.lit(float("nan"))).alias("value")) for m in metrics]
-    scored = df.select(*config, F.inline(F.array(*named))).filter(F.col("value").isNotNull())
-    top = F.min(F.struct((-F.col("value")).alias("_cost"), *[F.col(c) for c in config])).alias("_top")
-    best = scored.groupBy("metric", *within).agg(top)
-    return best.select("metric", (-F.col("_top._cost")).alias("value"), *[F.col(f"_top.{c}").alias(c) for c in config])
+    named = [
+        F.struct(F.lit(m).alias("metric"), (-_comparable(m)).alias("cost"), F.col(m).alias("value")) for m in metrics
+    ]
+    scored = df.select(*config, F.inline(F.array(*named))).filter(F.col("cost").isNotNull())
+    best = scored.groupBy("metric", *within).agg(F.min(F.struct("cost", *config, "value")).alias("best"))
+    return best.select("metric", "best.value", *[f"best.{c}" for c in config])
