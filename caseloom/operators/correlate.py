@@ -32,12 +32,11 @@ def _row_moments(columns: list[str]) -> dict[tuple[str, str], Column]:
 
 def _weighted_moments(columns: list[str], weight: str) -> dict[tuple[str, str], Column]:
     w = F.col(weight).cast("double")
-
-    def mean(value: Column) -> Column:
-        return F.sum(w * value) / F.nullif(F.sum(w), F.lit(0.0))
-
+    total = F.nullif(F.sum(w), F.lit(0.0))
+    weighted = {c: w * F.col(c) for c in columns}
+    mean = {c: F.sum(weighted[c]) / total for c in columns}
     return {
-        (a, b): mean(F.col(a) * F.col(b)) - mean(F.col(a)) * mean(F.col(b))
+        (a, b): F.sum(weighted[a] * F.col(b)) / total - mean[a] * mean[b]
         for a, b in combinations_with_replacement(columns, 2)
     }
 

@@ -52,6 +52,7 @@ U = TypeVar("U")
 # which MLlib scales features has a factor that depends on the spread of weights; with
 # this many rows it is within 1/RESOLUTION of the row-level one.
 RESOLUTION = 100_000
+ROWS_PER_TASK = 100_000
 
 
 @dataclass(frozen=True)
@@ -75,11 +76,13 @@ class Fit:
 
 @dataclass(frozen=True)
 class FoldTable:
-    """Encoded rows with ``fold`` and ``cases`` (how many cases a row stands for)."""
+    """Encoded rows with ``fold`` and ``cases`` (how many cases a row stands for), the
+    cases per fold and the number of rows."""
 
     encoder: Encoder
     table: DataFrame
     sizes: dict[int, int]
+    rows: int
 
     @property
     def total(self) -> int:
@@ -117,8 +120,9 @@ def fold_table(
     encoder = fit_encoder(kinds, spec)
     coded = encoder.transform(folded).select("fold", "features", "label", F.col("rows").alias("cases"))
     table = write_stage(coded, "folds", ["fold"])
-    sizes = {r["fold"]: r["n"] for r in table.groupBy("fold").agg(F.sum("cases").alias("n")).collect()}
-    return FoldTable(encoder, table, {i: sizes.get(i, 0) for i in range(k)})
+    counts = table.groupBy("fold").agg(F.sum("cases").alias("cases"), F.count(F.lit(1)).alias("rows")).collect()
+    sizes = dict.fromkeys(range(k), 0) | {r["fold"]: r["cases"] for r in counts}
+    return FoldTable(encoder, table, sizes, sum(r["rows"] for r in counts))
 
 
 def linear_rows(table: DataFrame, total: int, resolution: int = RESOLUTION) -> DataFrame:
@@ -127,6 +131,12 @@ def linear_rows(table: DataFrame, total: int, resolution: int = RESOLUTION) -> D
     return split_heavy(table, "cases", max(1, math.ceil(total / resolution)))
 
 
+def _packed(df: DataFrame, rows: int) -> DataFrame:
+    """A table of so many rows in as few partitions as hold ``ROWS_PER_TASK`` each: an
+    iteration of a solver is one small job, and every task in it has its price."""
+    return df.coalesce(max(1, math.ceil(rows / ROWS_PER_TASK)))
+
+
 def _fits(grid: Grid, folds: Sequence[int]) -> list[Fit]:
     linear = [f for f in grid.families if f != TREE]
     fits = [Fit(i, f, m) for f in linear for m in sorted(grid.max_iters, reverse=True) for i in folds]
@@ -147,8 +157,9 @@ def fit_grid(
 ) -> dict[Fit, Model]:
     """Fit every model of the grid on the training part of every fold, the longest fits first."""
     k = len(folds.sizes)
-    table = folds.table.persist()
-    linear = linear_rows(folds.table, folds.total, resolution).persist()
+    table = _packed(folds.table, folds.rows).persist()
+    unfolded = min(folds.total, folds.rows + resolution)
+    linear = _packed(linear_rows(folds.table, folds.total, resolution), unfolded).persist()
     tree_train = {i: train for i, train, _ in fold_pairs(table, k)}
     linear_train = {i: train for i, train, _ in fold_pairs(linear, k)}
 

@@ -1,6 +1,7 @@
 """ANSI SQL (DuckDB dialect) for every query that SQL can express.
 
-Left out: random draws (``split_random``) and fitted models (``fit_*``, ``grid_summary``,
+Left out: random and hashed parts (``split_random``, ``folds_random``, ``folds_by_key``)
+and fitted models (``fit_*``, ``grid_summary``,
 ``grid_best``, ``kmeans_profiles``).
 """
 
@@ -248,6 +249,7 @@ span as (select min(cast(case_month || '-01' as date)) as first, max(cast(case_m
 from cohort where res_state = '{STATE}')
 select cast(cast(s.m as date) as varchar) as month_start
 from span, unnest(generate_series(first, last, interval 6 month)) as s(m)""",
+    "date_range": f"""{WITH_COHORT} select min(case_month) || '-01' as first, max(case_month) || '-01' as last from cohort""",
     "outcome_share": OUTCOME_SHARE,
     "outcome_share_tally": OUTCOME_SHARE,
     "contingency": f"""{WITH_COHORT},
@@ -293,6 +295,7 @@ union all by name select *, 'fourth' as part from fourth""",
  {_round(_both(YES_RECALL, NO_RECALL), "weighted_recall")},
  {_round(_both(YES_F1, NO_F1), "weighted_f1")} from matrix""",
     "fold_mean": f"{STATE_MEANS} select * from means",
+    "rank_configs": f"{STATE_MEANS} select res_state, accuracy from means order by accuracy desc, res_state limit 5",
     "best_configs": f"{STATE_MEANS} "
     + " union all ".join(
         f"(select '{m}' as metric, {m} as value, res_state from means where not isnan({m}) order by {m} desc, res_state limit 1)"

@@ -148,6 +148,11 @@ def month_spine(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.state_spine(cohort(spark, sf_dir), STATE).select(F.col("month_start").cast("string"))
 
 
+def date_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    span = A.date_range(cohort(spark, sf_dir), X.month_start("case_month"))
+    return span.select(*[F.col(c).cast("string") for c in span.columns])
+
+
 def outcome_share(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(R.outcome_share(cohort(spark, sf_dir)))
 
@@ -210,6 +215,14 @@ def _kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return features.feature_kinds(cohort(spark, sf_dir), D.DEATH_MODEL)
 
 
+def folds_random(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return folds.fold_sizes(write_stage(folds.random_folds(R.model_rows(cohort(spark, sf_dir))), "folds"))
+
+
+def folds_by_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return folds.fold_sizes(folds.key_folds(cohort(spark, sf_dir), ["case_id"]))
+
+
 def folds_stratified(spark: SparkSession, sf_dir: str) -> DataFrame:
     return folds.stratified_folds(_kinds(spark, sf_dir))
 
@@ -269,6 +282,12 @@ def fold_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(_by_state(spark, sf_dir))
 
 
+def rank_configs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five best states by accuracy."""
+    means = rounded(_by_state(spark, sf_dir))
+    return metrics.rank_configs(means, "accuracy").limit(5).select("res_state", "accuracy")
+
+
 def best_configs(spark: SparkSession, sf_dir: str) -> DataFrame:
     means = rounded(_by_state(spark, sf_dir))
     return metrics.best_configs(means, ["res_state"], metrics=metrics.POSITIVE)
@@ -370,6 +389,7 @@ QUERIES: dict[str, Query] = {
         sex_share,
         monthly_state,
         month_spine,
+        date_range,
         outcome_share,
         outcome_share_tally,
         contingency,
@@ -382,6 +402,8 @@ QUERIES: dict[str, Query] = {
         death_cells_tally,
         split_random,
         split_random_union,
+        folds_random,
+        folds_by_key,
         folds_stratified,
         fold_sizes,
         fold_sizes_pairs,
@@ -391,6 +413,7 @@ QUERIES: dict[str, Query] = {
         metrics_positive,
         metrics_weighted,
         fold_mean,
+        rank_configs,
         best_configs,
         encode_features,
         fit_logistic,
