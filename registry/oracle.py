@@ -1,8 +1,7 @@
 """ANSI SQL (DuckDB dialect) for every query that SQL can express.
 
 Left out: random and hashed parts (``split_random``, ``folds_random``, ``folds_by_key``)
-and fitted models (``fit_*``, ``grid_summary``,
-``grid_best``, ``kmeans_profiles``).
+and fitted models (``fit_*``, ``grid_summary``, ``grid_best``, ``kmeans_profiles``).
 """
 
 from __future__ import annotations

@@ -20,14 +20,20 @@ from registry.fixture import cohort
 SPEC = D.DEATH_MODEL
 
 
+def kept(df):
+    """Cached while the module runs; other modules look at plans that read files."""
+    yield df.persist()
+    df.unpersist()
+
+
 @pytest.fixture(scope="module")
 def people(spark, data):
-    return cohort(spark, data).persist()
+    yield from kept(cohort(spark, data))
 
 
 @pytest.fixture(scope="module")
 def kinds(people):
-    return features.feature_kinds(people, SPEC).persist()
+    yield from kept(features.feature_kinds(people, SPEC))
 
 
 def multiset(df):
@@ -127,14 +133,14 @@ def test_incomplete_rows_are_left_out(spark):
 @pytest.fixture(scope="module")
 def coded(people):
     rows, _ = features.encode_features(people, SPEC)
-    return rows.select("features", "label").persist()
+    yield from kept(rows.select("features", "label"))
 
 
 @pytest.fixture(scope="module")
 def weighted(kinds):
     encoder = features.fit_encoder(kinds, SPEC)
     table = encoder.transform(kinds).withColumn("cases", F.col("rows"))
-    return table.select("features", "label", "cases").persist()
+    yield from kept(table.select("features", "label", "cases"))
 
 
 def arrays(df):
