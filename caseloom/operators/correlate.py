@@ -63,14 +63,11 @@ def correlation_matrix(
         return F.when(F.col(f"`{c}:min`") < F.col(f"`{c}:max`"), F.sqrt(F.col(f"`{c}:{c}`")))
 
     deviations = wide.withColumns({f"{c}:dev": deviation(c) for c in columns})
-
-    def r(a: str, b: str) -> Column:
-        if a == b:
-            return F.lit(1.0)
-        first, second = sorted((a, b), key=columns.index)
-        return F.col(f"`{first}:{second}`") / (F.col(f"`{a}:dev`") * F.col(f"`{b}:dev`"))
-
+    r = {(c, c): F.lit(1.0) for c in columns}
+    for a, b in combinations(columns, 2):
+        r[a, b] = r[b, a] = F.col(f"`{a}:{b}`") / (F.col(f"`{a}:dev`") * F.col(f"`{b}:dev`"))
+    names = {c: F.lit(c) for c in columns}
     cells = [
-        F.struct(F.lit(a).alias("x"), F.lit(b).alias("y"), r(a, b).alias("r")) for a in columns for b in columns
+        F.struct(names[a].alias("x"), names[b].alias("y"), r[a, b].alias("r")) for a in columns for b in columns
     ]
     return deviations.select(F.inline(F.array(*cells)))
