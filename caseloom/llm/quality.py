@@ -38,8 +38,7 @@ class Measure:
 
 MEASURES = (
     Measure("symbols_per_word", 0.05),
-    Measure("dup_line_share", 0.1),
-    Measure("repeat_share", 0.05),
+    Measure("dup_line_share", 0.2),
     Measure("upper_share", 0.05),
     Measure("mean_word_length", 1.0, True),
     Measure("distinct_share", 0.2, True),

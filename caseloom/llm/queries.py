@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from caseloom.llm import exact_dedup, line_dedup, mixing, packing, quality
+from caseloom.llm import exact_dedup, line_dedup, mixing, ngram_join, packing, quality
 from caseloom.llm.common import prepare, read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -23,6 +23,11 @@ def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(read(spark, sf_dir, "documents"))
 
 
+def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return ngram_join.ngram_jaccard(read(spark, sf_dir, "documents"))
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     prepare(spark)
     return packing.pack(read(spark, sf_dir, "documents"), tokenizer_path())
@@ -45,6 +50,6 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
-    q.__name__: q for q in (op2_mix_sources, op5_best_fit_packing, op8_line_dedup, op9_exact_dedup, op10_quality_rules)
+    q.__name__: q for q in (op2_mix_sources, op4_ngram_jaccard_join, op5_best_fit_packing, op8_line_dedup, op9_exact_dedup, op10_quality_rules)
 }
 ORACLES: dict[str, str] = {}
