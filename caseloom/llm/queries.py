@@ -6,12 +6,22 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from caseloom.llm import exact_dedup, line_dedup, mixing, ngram_join, packing, quality
+from caseloom.llm import exact_dedup, langid, line_dedup, mixing, ngram_join, packing, quality, toxicity, url_rules
 from caseloom.llm.common import prepare, read
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+# The rules that the URL query is given.
+URL_RULES = (
+    ("org/", "allow"),
+    ("example.org/es/", "block"),
+    ("example.org/en/1", "block"),
+    ("com/fr/", "allow"),
+    ("com/de/", "block"),
+)
+
+
 def tokenizer_path() -> str:
     import public_tokenizers
 
@@ -23,6 +33,11 @@ def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(read(spark, sf_dir, "documents"))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return toxicity.toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     prepare(spark)
     return ngram_join.ngram_jaccard(read(spark, sf_dir, "documents"))
@@ -33,6 +48,16 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op6_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return url_rules.judge(read(spark, sf_dir, "pages"), read(spark, sf_dir, "labels"), URL_RULES)
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return langid.identify(read(spark, sf_dir, "documents"))
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     prepare(spark)
     cleaned = line_dedup.dedup_lines(read(spark, sf_dir, "documents"), counts=True)
@@ -50,6 +75,17 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
-    q.__name__: q for q in (op2_mix_sources, op4_ngram_jaccard_join, op5_best_fit_packing, op8_line_dedup, op9_exact_dedup, op10_quality_rules)
+    q.__name__: q
+    for q in (
+        op2_mix_sources,
+        op3_toxicity,
+        op4_ngram_jaccard_join,
+        op5_best_fit_packing,
+        op6_url_rules,
+        op7_language_id,
+        op8_line_dedup,
+        op9_exact_dedup,
+        op10_quality_rules,
+    )
 }
 ORACLES: dict[str, str] = {}
