@@ -75,9 +75,9 @@ def removals(docs: DataFrame, min_sites: int = MIN_SITES, min_sites_long: int =
     return hits.filter(~same).groupBy("doc_id", "text_key").agg(F.collect_set("pos").alias("drop"))
 
 
-def dedup_lines(docs: DataFrame, min_sites: int = MIN_SITES, min_sites_long: int = MIN_SITES_LONG, long_words: int = LONG_WORDS, min_words: int = MIN_WORDS, doc_id: str = "doc_id", text: str = "text", site: str = "source", counts: bool = False) -> DataFrame:
-    """The documents with the spread lines removed; with ``counts``, columns ``n_lines`` and
-    ``n_removed`` more. A text loses its dropped lines with their line ends."""
+def dedup_lines(docs: DataFrame, min_sites: int = MIN_SITES, min_sites_long: int = MIN_SITES_LONG, long_words: int = LONG_WORDS, min_words: int = MIN_WORDS, doc_id: str = "doc_id", text: str = "text", site: str = "source", counts: tuple[str, str] | None = None) -> DataFrame:
+    """The documents with the spread lines removed; with ``counts``, two columns so named
+    (lines of the text, lines removed) more. A text loses its dropped lines with their line ends."""
     drops = write_stage(removals(docs, min_sites, min_sites_long, long_words, min_words, doc_id, text, site), "line-drops")
     d_id, d_key, d_drop, key = fresh(docs, "drop_id", "drop_key", "drop_lines", "row_key")
     drops = drops.select(F.col("doc_id").alias(d_id), F.col("text_key").alias(d_key), F.col("drop").alias(d_drop))
@@ -95,7 +95,7 @@ def dedup_lines(docs: DataFrame, min_sites: int = MIN_SITES, min_sites_long: int
         n_lines = F.when(F.col(text).isNull(), 0).otherwise(F.regexp_count(text, F.lit("\n")) + 1)
         n_removed = F.coalesce(F.size(d_drop), F.lit(0))
         n_lines = F.when(hit & (F.col(text) == "") , 0).otherwise(n_lines) + n_removed
-        extra = [n_lines.cast("bigint").alias("n_lines"), n_removed.cast("bigint").alias("n_removed")]
+        extra = [n_lines.cast("bigint").alias(counts[0]), n_removed.cast("bigint").alias(counts[1])]
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
         out = out.withColumn("n_chars", F.when(hit, F.length(text).cast(kind)).otherwise(F.col("n_chars")))

@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from caseloom.llm import exact_dedup, langid, line_dedup, mixing, ngram_join, packing, quality, toxicity, url_rules
+import corpus_pipeline
+from caseloom.llm import exact_dedup, langid, line_dedup, mixing, ngram_join, packing, pii, quality, toxicity, url_rules
 from caseloom.llm.common import prepare, read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,6 +29,15 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return pii.digest(pii.detect(read(spark, sf_dir, "documents")))
+
+
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     prepare(spark)
     return mixing.mix_sources(read(spark, sf_dir, "documents"))
@@ -60,7 +70,7 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     prepare(spark)
-    cleaned = line_dedup.dedup_lines(read(spark, sf_dir, "documents"), counts=True)
+    cleaned = line_dedup.dedup_lines(read(spark, sf_dir, "documents"), counts=("n_lines", "n_removed"))
     return cleaned.select("doc_id", "text", "n_lines", "n_removed")
 
 
@@ -77,6 +87,8 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     q.__name__: q
     for q in (
+        pipeline,
+        op1_pii,
         op2_mix_sources,
         op3_toxicity,
         op4_ngram_jaccard_join,

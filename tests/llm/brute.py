@@ -145,3 +145,35 @@ def spread_lines(docs, min_sites=10, min_sites_long=3, long_words=8, min_words=3
                 keep.append(line)
         out[i] = "\n".join(keep)
     return out
+
+
+EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
+IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
+PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+
+
+def luhn(digits):
+    total = 0
+    for i, d in enumerate(reversed(digits)):
+        n = int(d) * (1 + i % 2)
+        total += n - 9 if n > 9 else n
+    return total % 10 == 0
+
+
+def personal(text):
+    """Base spans as (kind, start, end)."""
+    text = text or ""
+    only = lambda m: re.sub("[^0-9]", "", m.group())
+    found = [("email", m) for m in EMAIL.finditer(text)]
+    found += [("ip", m) for m in IP.finditer(text) if all(int(x) <= 255 for x in m.group().split("."))]
+    found += [("card", m) for m in CARD.finditer(text) if 13 <= len(only(m)) <= 19 and luhn(only(m))]
+    found += [("phone", m) for m in PHONE.finditer(text) if 9 <= len(only(m)) <= 15]
+    return [(k, m.start(), m.end()) for k, m in found]
+
+
+def personal_digest(text):
+    found = personal(text)
+    counts = tuple(sum(k == kind for k, _, _ in found) for kind in ("email", "ip", "card", "phone"))
+    listed = ",".join(f"{k}:{s}:{e}" for k, s, e in found)
+    return counts, hashlib.sha256(listed.encode()).hexdigest(), listed
