@@ -193,25 +193,24 @@ class Reliability:
 
 def estimate(patterns: DataFrame, rounds: int = ROUNDS) -> Reliability:
     """Expectation maximisation for labelers that vote independently given the truth. Each
-    round is one aggregate over the pattern counts; it starts from the majority."""
+    round weighs the pattern counts (one row per pattern) and sums the few numbers it gets;
+    it starts from the majority."""
     votes = {(k, n, v): {-1: (0.15, 0.7), 0: (0.3, 0.3), 1: (0.7, 0.15)}[v] for k in range(len(KINDS)) for n in LABELERS for v in (-1, 0, 1)}
     model = Reliability({k: 0.5 for k in range(len(KINDS))}, votes)
     for _ in range(rounds):
-        weighed = patterns.withColumn("p", model.posterior())
-        yes, no = F.col("n") * F.col("p"), F.col("n") * (1 - F.col("p"))
-        sums = [F.sum(yes).alias("yes"), F.sum(no).alias("no")]
-        for name in LABELERS:
-            for vote in (-1, 0, 1):
-                hit = F.col(name) == vote
-                sums += [F.sum(F.when(hit, yes).otherwise(0.0)).alias(f"{name}{vote}y"), F.sum(F.when(hit, no).otherwise(0.0)).alias(f"{name}{vote}n")]
+        p = model.posterior()
+        shares = patterns.select("kind", *LABELERS, (F.col("n") * p).alias("yes"), (F.col("n") * (1 - p)).alias("no")).collect()
         prior, new, moved = dict(model.prior), dict(model.votes), 0.0
-        for row in weighed.groupBy("kind").agg(*sums).collect():  # one row per kind
-            k = row["kind"]
-            prior[k] = (row["yes"] + 1) / (row["yes"] + row["no"] + 2)
+        for k in {row["kind"] for row in shares}:
+            own = [row for row in shares if row["kind"] == k]
+            yes, no = sum(row["yes"] for row in own), sum(row["no"] for row in own)
+            prior[k] = (yes + 1) / (yes + no + 2)
             moved = max(moved, abs(prior[k] - model.prior[k]))
             for name in LABELERS:
                 for vote in (-1, 0, 1):
-                    new[k, name, vote] = ((row[f"{name}{vote}y"] + 1) / (row["yes"] + 3), (row[f"{name}{vote}n"] + 1) / (row["no"] + 3))
+                    hits = [row for row in own if row[name] == vote]
+                    share = lambda side, total: (sum(row[side] for row in hits) + 1) / (total + 3)  # noqa: B023, E731
+                    new[k, name, vote] = (share("yes", yes), share("no", no))
         model = Reliability(prior, new)
         if moved < 1e-4:
             break
