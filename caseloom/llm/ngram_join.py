@@ -227,7 +227,6 @@ def connect(links: DataFrame, rounds: int = 60) -> DataFrame:
     large stars, then small stars, until nothing changes. A node with many links is combined
     before it is shuffled; no component is gathered."""
     edges = write_stage(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "edges")
-    last = None
     for _ in range(rounds):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -236,10 +235,15 @@ def connect(links: DataFrame, rounds: int = 60) -> DataFrame:
         joined = large.join(least, "u")
         small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
         edges = write_stage(small.filter("u <> v").distinct(), "edges")
-        state = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if state == last:
+        # Stars are settled when every node has one edge and no root has any.
+        forked, _, chained = (
+            edges.groupBy("u").agg(F.count(F.lit(1)).alias("n"), F.lit(0).alias("r"))
+            .unionByName(edges.select(F.col("v").alias("u")).distinct().select("u", F.lit(0).cast("bigint").alias("n"), F.lit(1).alias("r")))
+            .groupBy("u").agg(F.sum("n").alias("n"), F.max("r").alias("r"))
+            .agg(F.count_if("n > 1"), F.count(F.lit(1)), F.count_if("n > 0 and r > 0")).first()
+        )
+        if not forked and not chained:
             break
-        last = state
     else:
         raise RuntimeError("components did not settle")
     nodes = edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
@@ -272,9 +276,14 @@ def jaccard_links(docs: DataFrame, classes: DataFrame, table: np.ndarray, num: i
     ids = (F.least("x.doc_id", "y.doc_id").alias("a"), F.greatest("x.doc_id", "y.doc_id").alias("b"))
     first = write_stage(one.join(two, on).select(*ids).distinct(), "pivot-pairs")
     near = write_stage(verify(first, _sets_of(docs, first, n), num, den), "pivot-links")
-    roots = write_stage(connect(near), "pivot-components")
-
-    marked = tokens.join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
+    # Documents similar to one pivot are connected; they carry its name.
+    pivot = pivots.select(F.col("doc_id").alias("pivot")).distinct()
+    ends = near.unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    roots = ends.join(pivot, F.col("a") == F.col("pivot")).groupBy(F.col("b").alias("doc_id")).agg(F.min("a").alias("root"))
+    roots = pivot.select(F.col("pivot").alias("doc_id"), F.col("pivot").alias("own")).join(roots, "doc_id", "full")
+    roots = roots.select("doc_id", F.least("own", "root").alias("root"))
+
+    marked = tokens.join(roots, "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
     marked = write_stage(marked, "marked-prefixes")
     one, two = marked.alias("x"), marked.alias("y")
     on = (F.col("x.token") == F.col("y.token")) & (F.col("x.doc_id") < F.col("y.doc_id")) & (F.col("x.root") != F.col("y.root")) & _filters(num, den, "x", "y")
@@ -285,7 +294,7 @@ def jaccard_links(docs: DataFrame, classes: DataFrame, table: np.ndarray, num: i
 
 def _sets_of(docs: DataFrame, pairs: DataFrame, n: int) -> DataFrame:
     """The whole sets of the documents that occur in pairs."""
-    asked = write_stage(pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct(), "asked")
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
     return write_stage(gram_sets(docs.join(asked, "doc_id", "left_semi"), n), "gram-sets")
 
 

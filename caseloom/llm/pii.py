@@ -20,11 +20,13 @@ alike. A table without spans gives empty lists.
 
 from __future__ import annotations
 
+import math
+from collections import Counter
 from dataclasses import dataclass
 
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from caseloom.llm.common import bind, whole
@@ -177,42 +179,32 @@ class Reliability:
     prior: dict[int, float]
     votes: dict[tuple[int, str, int], tuple[float, float]]
 
-    def posterior(self) -> Column:
-        odds = F.lit(None).cast("double")
-        for kind, p in self.prior.items():
-            own = F.log(F.lit(p / (1 - p)))
-            for name in LABELERS:
-                term = F.lit(0.0)
-                for vote in (-1, 0, 1):
-                    yes, no = self.votes[kind, name, vote]
-                    term = F.when(F.col(name) == vote, F.log(F.lit(yes / no))).otherwise(term)
-                own = own + term
-            odds = F.when(F.col("kind") == kind, own).otherwise(odds)
-        return 1 / (1 + F.exp(-odds))
-
-
-def estimate(patterns: DataFrame, rounds: int = ROUNDS) -> Reliability:
-    """Expectation maximisation for labelers that vote independently given the truth. Each
-    round weighs the pattern counts (one row per pattern) and sums the few numbers it gets;
-    it starts from the majority."""
+    def chance(self, row) -> float:
+        """That spans with this pattern of votes are personal data."""
+        odds = math.log(self.prior[row["kind"]] / (1 - self.prior[row["kind"]]))
+        for name in LABELERS:
+            yes, no = self.votes[row["kind"], name, row[name]]
+            odds += math.log(yes / no)
+        return 1 / (1 + math.exp(-odds))
+
+
+def estimate(patterns: list[Row], rounds: int = ROUNDS) -> Reliability:
+    """Expectation maximisation for labelers that vote independently given the truth. It
+    reads the counts of vote patterns and starts from the majority."""
     votes = {(k, n, v): {-1: (0.15, 0.7), 0: (0.3, 0.3), 1: (0.7, 0.15)}[v] for k in range(len(KINDS)) for n in LABELERS for v in (-1, 0, 1)}
     model = Reliability({k: 0.5 for k in range(len(KINDS))}, votes)
     for _ in range(rounds):
-        p = model.posterior()
-        shares = patterns.select("kind", *LABELERS, (F.col("n") * p).alias("yes"), (F.col("n") * (1 - p)).alias("no")).collect()
-        prior, new, moved = dict(model.prior), dict(model.votes), 0.0
-        for k in {row["kind"] for row in shares}:
-            own = [row for row in shares if row["kind"] == k]
-            yes, no = sum(row["yes"] for row in own), sum(row["no"] for row in own)
-            prior[k] = (yes + 1) / (yes + no + 2)
-            moved = max(moved, abs(prior[k] - model.prior[k]))
-            for name in LABELERS:
-                for vote in (-1, 0, 1):
-                    hits = [row for row in own if row[name] == vote]
-                    share = lambda side, total: (sum(row[side] for row in hits) + 1) / (total + 3)  # noqa: B023, E731
-                    new[k, name, vote] = (share("yes", yes), share("no", no))
-        model = Reliability(prior, new)
-        if moved < 1e-4:
+        yes, no = Counter(), Counter()
+        for row in patterns:
+            p, k = model.chance(row), row["kind"]
+            for key in [k, *[(k, name, row[name]) for name in LABELERS]]:
+                yes[key] += row["n"] * p
+                no[key] += row["n"] * (1 - p)
+        prior = {k: (yes[k] + 1) / (yes[k] + no[k] + 2) for k in model.prior}
+        votes = {key: ((yes[key] + 1) / (yes[key[0]] + 3), (no[key] + 1) / (no[key[0]] + 3)) for key in model.votes}
+        moved = max(abs(prior[k] - model.prior[k]) for k in prior)
+        model = Reliability(prior, votes)
+        if moved < 1e-5:
             break
     return model
 
@@ -228,20 +220,20 @@ def _features() -> dict[str, Column]:
     return out
 
 
-def train(patterns: DataFrame, reliability: Reliability) -> dict[str, float] | None:
+def train(spark: SparkSession, patterns: list[Row], reliability: Reliability) -> dict[str, float] | None:
     """Factors of the span classifier (and ``""``, its intercept), fitted to the likelihoods."""
+    if not patterns:
+        return None
+    rows = []
+    for row in patterns:
+        p, n = reliability.chance(row), row["n"]
+        both = [(row["kind"], *[row[name] for name in LABELERS], row["n_digits"])]
+        rows += [(*both[0], 1.0, n * p), (*both[0], 0.0, n * (1 - p))]
+    columns = ", ".join(f"{name} int" for name in ("kind", *LABELERS, "n_digits"))
     named = _features()
-    weighed = patterns.withColumn("p", reliability.posterior()).withColumns(named)
-    both = weighed.select(*named, F.lit(1.0).alias("label"), (F.col("n") * F.col("p")).alias("w")).unionByName(
-        weighed.select(*named, F.lit(0.0).alias("label"), (F.col("n") * (1 - F.col("p"))).alias("w"))
-    )
-    rows = VectorAssembler(inputCols=list(named), outputCol="features").transform(both.filter("w > 0")).cache()
-    try:
-        if rows.select("label").distinct().count() < 2:
-            return None
-        model = LogisticRegression(weightCol="w", maxIter=60, regParam=1e-3).fit(rows)
-    finally:
-        rows.unpersist()
+    table = spark.createDataFrame(rows, f"{columns}, label double, w double").select(*[c.alias(n) for n, c in named.items()], "label", "w")
+    table = VectorAssembler(inputCols=list(named), outputCol="features").transform(table)
+    model = LogisticRegression(weightCol="w", maxIter=60, regParam=1e-3).fit(table.coalesce(1))
     return dict(zip(named, map(float, model.coefficients), strict=True)) | {"": float(model.intercept)}
 
 
@@ -262,8 +254,8 @@ def detect(docs: DataFrame, sure: float = SURE, doc_id: str = "doc_id", text: st
     """Per row: ``doc_id`` and ``found``, an array of ``kind, s, e, base`` in order of kind and
     place."""
     voted = write_stage(spans(docs, doc_id, text), "spans")
-    patterns = write_stage(vote_patterns(voted), "vote-patterns")
-    factors = train(patterns, estimate(patterns))
+    patterns = vote_patterns(voted).collect()  # bounded by the number of combinations
+    factors = train(docs.sparkSession, patterns, estimate(patterns))
     none = F.array().cast(voted.schema["spans"].dataType)
     every = F.coalesce(F.col("spans"), none)
     base = F.filter(every, lambda x: x["base"])
