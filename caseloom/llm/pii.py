@@ -20,6 +20,7 @@ alike. A table without spans gives empty lists.
 
 from __future__ import annotations
 
+import json
 import math
 from collections import Counter
 from dataclasses import dataclass
@@ -226,14 +227,15 @@ def train(spark: SparkSession, patterns: list[Row], reliability: Reliability) ->
         return None
     rows = []
     for row in patterns:
-        p, n = reliability.chance(row), row["n"]
-        both = [(row["kind"], *[row[name] for name in LABELERS], row["n_digits"])]
-        rows += [(*both[0], 1.0, n * p), (*both[0], 0.0, n * (1 - p))]
-    columns = ", ".join(f"{name} int" for name in ("kind", *LABELERS, "n_digits"))
+        p, own = reliability.chance(row), {name: row[name] for name in ("kind", *LABELERS, "n_digits")}
+        rows += [own | {"label": 1.0, "w": row["n"] * p}, own | {"label": 0.0, "w": row["n"] * (1 - p)}]
+    columns = ", ".join(f"{name}: int" for name in ("kind", *LABELERS, "n_digits"))
     named = _features()
-    table = spark.createDataFrame(rows, f"{columns}, label double, w double").select(*[c.alias(n) for n, c in named.items()], "label", "w")
+    # As one literal, the few rows need no Python on the executors.
+    listed_rows = F.from_json(F.lit(json.dumps(rows)), f"array<struct<{columns}, label: double, w: double>>")
+    table = spark.range(1).select(F.inline(listed_rows)).select(*[c.alias(n) for n, c in named.items()], "label", "w")
     table = VectorAssembler(inputCols=list(named), outputCol="features").transform(table)
-    model = LogisticRegression(weightCol="w", maxIter=60, regParam=1e-3).fit(table.coalesce(1))
+    model = LogisticRegression(weightCol="w", maxIter=60, regParam=1e-3).fit(table)
     return dict(zip(named, map(float, model.coefficients), strict=True)) | {"": float(model.intercept)}
 
 
