@@ -87,22 +87,28 @@ def describe_numeric(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def valid_intervals(df: DataFrame, columns: Sequence[str] = D.INTERVALS) -> DataFrame:
-    """Rows in which every interval is a number and not negative."""
+    """Rows in which every interval is a number and not negative. Numeric columns are
+    compared as they are, so that the filter reaches the scan; NaN is no number."""
+    kinds = dict(df.dtypes)
     keep = F.lit(True)
     for c in columns:
-        keep = keep & (F.col(c).try_cast("int") >= 0)
+        whole = kinds[c] in ("tinyint", "smallint", "int", "bigint") or kinds[c].startswith("decimal")
+        real = kinds[c] in ("float", "double")
+        number = F.col(c) if whole or real else F.col(c).try_cast("double")
+        keep = keep & (number >= 0)
+        if not whole:
+            keep = keep & ~F.isnan(number)
     return df.filter(keep)
 
 
 def profile(df: DataFrame, columns: Sequence[str], weight: str | None = None) -> DataFrame:
     """Counts of every value of every column, ``(dimension, level, rows)``, from one
-    scan: distinct rows are counted first and only those are unfolded."""
-    distinct = tally(df, columns, "rows", weight)
+    scan. Rows are unfolded first, so that each task sends one row per level at most."""
     pairs = F.array(*[F.struct(F.lit(c).alias("dimension"), F.col(c).cast("string").alias("level")) for c in columns])
     return (
-        distinct.select(F.inline(pairs), "rows")
+        df.select(F.inline(pairs), *([] if weight is None else [weight]))
         .groupBy("dimension", "level")
-        .agg(F.sum("rows").alias("rows"))
+        .agg(row_count(weight).alias("rows"))
     )
 
 

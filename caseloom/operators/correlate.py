@@ -30,6 +30,14 @@ def _row_moments(columns: list[str]) -> dict[tuple[str, str], Column]:
     return moments | {(a, b): F.covar_pop(a, b) for a, b in combinations(columns, 2)}
 
 
+def _centred(df: DataFrame, columns: list[str], weight: str) -> DataFrame:
+    """The columns less their weighted means, which leaves covariances as they are but
+    keeps their sums from cancelling. The means are a scalar subquery of one row."""
+    w = F.col(weight).cast("double")
+    means = df.agg(F.struct(*[(F.sum(w * F.col(c)) / F.sum(w)).alias(c) for c in columns]).alias("means")).scalar()
+    return df.select(*[(F.col(c) - means[c]).alias(c) for c in columns], weight)
+
+
 def _weighted_moments(columns: list[str], weight: str) -> dict[tuple[str, str], Column]:
     w = F.col(weight).cast("double")
     total = F.nullif(F.sum(w), F.lit(0.0))
@@ -42,18 +50,21 @@ def _weighted_moments(columns: list[str], weight: str) -> dict[tuple[str, str],
 
 
 def correlation_matrix(
-    df: DataFrame, columns: Sequence[str] | None = None, weight: str | None = None
+    df: DataFrame, columns: Sequence[str] | None = None, weight: str | None = None, centre: bool = True
 ) -> DataFrame:
     """The whole matrix as rows ``(x, y, r)`` over complete cases, in one pass.
 
     Variances are shared by all pairs. The diagonal is 1; a pair with a constant
-    column has no correlation and gives NULL. With ``weight`` the rows are a tally;
-    that form suits codes, which are small whole numbers.
+    column has no correlation and gives NULL. With ``weight`` the rows are a tally; its columns
+    are centred by a scalar subquery, which small whole codes can do without.
     """
     columns = [c for c in (columns or df.columns) if c != weight]
     extra = [] if weight is None else [weight]
     moments = _row_moments(columns) if weight is None else _weighted_moments(columns, weight)
-    wide = complete_cases(df, [*columns, *extra]).agg(
+    rows = complete_cases(df, [*columns, *extra])
+    if weight is not None and centre:
+        rows = _centred(rows, columns, weight)
+    wide = rows.agg(
         *[F.min(c).alias(f"{c}:min") for c in columns],
         *[F.max(c).alias(f"{c}:max") for c in columns],
         *[m.alias(f"{a}:{b}") for (a, b), m in moments.items()],

@@ -79,9 +79,13 @@ def fold_pairs(df: DataFrame, k: int = D.FOLDS) -> Iterator[tuple[int, DataFrame
         yield i, df.filter(F.col("fold") != i), df.filter(F.col("fold") == i)
 
 
-def fold_sizes(df: DataFrame, rows: str | None = None) -> DataFrame:
-    """Training and test rows of every fold, from one count per fold."""
+def fold_sizes(df: DataFrame, rows: str | None = None, k: int | None = None) -> DataFrame:
+    """Training and test rows of every fold, from one count per fold. With ``k``, folds that
+    got no rows are listed too."""
     test = df.groupBy("fold").agg((F.count(F.lit(1)) if rows is None else F.sum(rows)).alias("test_rows"))
+    if k is not None:
+        every = df.sparkSession.range(k).select(F.col("id").cast(df.schema["fold"].dataType).alias("fold"))
+        test = every.join(test, "fold", "left").select("fold", F.coalesce("test_rows", F.lit(0)).alias("test_rows"))
     everything = Window.partitionBy()  # k rows
     train = F.sum("test_rows").over(everything) - F.col("test_rows")
     return test.select("fold", train.alias("train_rows"), "test_rows")

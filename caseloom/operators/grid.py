@@ -194,7 +194,14 @@ def _labels(fit: Fit, grid: Grid) -> list[Column]:
     if fit.family == SVC:
         return [(margin > t).cast("int") for t in grid.thresholds]
     # A probability is above t exactly where its log-odds are above those of t.
-    return [(margin > math.log(t / (1.0 - t))).cast("int") for t in grid.thresholds]
+    return [(margin > _log_odds(t)).cast("int") for t in grid.thresholds]
+
+
+def _log_odds(t: float) -> float:
+    """As MLlib has it: 0 and 1 lie below and above every score."""
+    if t <= 0.0:
+        return -math.inf
+    return math.inf if t >= 1.0 else math.log(t / (1.0 - t))
 
 
 def score_grid(

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from caseloom import domain as D
@@ -92,20 +92,24 @@ def _comparable(metric: str) -> Column:
 
 
 def rank_configs(df: DataFrame, metric: str) -> DataFrame:
-    """Configurations from best to worst; those without a value for the metric are last
-    and equals are in the order of their other columns."""
+    """All configurations from best to worst with their ``position`` from 1; those without
+    a value for the metric are last and equals are in the order of their other columns."""
     others = [c for c in df.columns if c not in (*POSITIVE, *WEIGHTED)]
-    return df.orderBy(_comparable(metric).desc_nulls_last(), *others)
+    order = Window.partitionBy().orderBy(_comparable(metric).desc_nulls_last(), *others)  # a row per configuration
+    return df.withColumn("position", F.row_number().over(order)).orderBy("position")
 
 
 def best_configs(
     df: DataFrame, config: Sequence[str], within: Sequence[str] = (), metrics: Sequence[str] = (*POSITIVE, *WEIGHTED)
 ) -> DataFrame:
     """The best configuration for every metric, per group ``within``; between equals
-    the first one in the order of the configuration columns."""
+    the first one in the order of the configuration columns. A metric that no
+    configuration has a value for is NaN with NULL as its configuration."""
     named = [
         F.struct(F.lit(m).alias("metric"), (-_comparable(m)).alias("cost"), F.col(m).alias("value")) for m in metrics
     ]
-    scored = df.select(*config, F.inline(F.array(*named))).filter(F.col("cost").isNotNull())
-    best = scored.groupBy("metric", *within).agg(F.min(F.struct("cost", *config, "value")).alias("best"))
-    return best.select("metric", "best.value", *[f"best.{c}" for c in config])
+    scored = df.select(*config, F.inline(F.array(*named))).withColumn("without", F.col("cost").isNull())
+    best = scored.groupBy("metric", *within).agg(F.min(F.struct("without", "cost", *config, "value")).alias("best"))
+    value = F.coalesce("best.value", F.lit(float("nan"))).alias("value")
+    told = [F.col(f"best.{c}") if c in within else F.when(~F.col("best.without"), F.col(f"best.{c}")) for c in config]
+    return best.select("metric", value, *[t.alias(c) for t, c in zip(told, config, strict=True)])

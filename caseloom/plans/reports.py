@@ -106,7 +106,7 @@ def correlation(cohort: DataFrame, weight: str | None = None) -> DataFrame:
     """Correlations of the coded columns. The five columns are categories, so their
     distinct rows are counted first and the moments come from a few hundred rows."""
     kinds = A.tally(cohort, CORRELATED, "rows", weight)
-    return correlation_matrix(correlation_codes(kinds, ["rows"]), weight="rows")
+    return correlation_matrix(correlation_codes(kinds, ["rows"]), weight="rows", centre=False)
 
 
 def model_rows(cohort: DataFrame) -> DataFrame:

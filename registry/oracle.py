@@ -294,12 +294,20 @@ union all by name select *, 'fourth' as part from fourth""",
  {_round(_both(YES_RECALL, NO_RECALL), "weighted_recall")},
  {_round(_both(YES_F1, NO_F1), "weighted_f1")} from matrix""",
     "fold_mean": f"{STATE_MEANS} select * from means",
-    "rank_configs": f"{STATE_MEANS} select res_state, accuracy from means order by accuracy desc, res_state limit 5",
+    "rank_configs": f"{STATE_MEANS} select res_state, accuracy, "
+    "cast(row_number() over (order by accuracy desc nulls last, res_state) as integer) as position from means",
     "best_configs": f"{STATE_MEANS} "
     + " union all ".join(
         f"(select '{m}' as metric, {m} as value, res_state from means where not isnan({m}) order by {m} desc, res_state limit 1)"
         for m in ("accuracy", "precision", "recall", "f1")
     ),
+    "correlation_weighted": """with r as (select o_totalprice::double as x, c_acctbal::double as y, o_orderkey % 5 + 1 as w
+ from orders join customer on o_custkey = c_custkey),
+m as (select sum(w * x) / sum(w) as mx, sum(w * y) / sum(w) as my from r),
+s as (select sum(w * (x - mx) * (y - my)) / sqrt(sum(w * (x - mx) * (x - mx)) * sum(w * (y - my) * (y - my))) as r
+ from r cross join m)
+select 'price' as x, 'price' as y, 1.0::double as r union all select 'balance', 'balance', 1.0
+ union all select 'price', 'balance', round(r, 6) from s union all select 'balance', 'price', round(r, 6) from s""",
     "encode_features": _slots(),
     "grid_support": f"""{FOLDS},
 config(family, max_iter, threshold, min_instances, max_depth) as (values {_grid_rows()}),

@@ -21,6 +21,7 @@ from caseloom.plans import reports as R
 from caseloom.sources import read_cases, register_table, save_table
 from caseloom.sources.sinks import stage_path, write_stage
 from registry.fixture import STATE, cases, cohort, derive_cases
+from registry.session import prepared
 
 DIGITS = 6
 TOP = 5000
@@ -190,6 +191,17 @@ def correlation_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(correlate.correlation_matrix(correlate.correlation_codes(cohort(spark, sf_dir))))
 
 
+def correlation_weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order totals against balances of their customers, weighted, far from zero."""
+    orders, customer = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("orders", "customer"))
+    rows = orders.join(customer, orders.o_custkey == customer.c_custkey).select(
+        (F.col("o_totalprice").cast("double") + 1e6).alias("price"),
+        (F.col("c_acctbal").cast("double") + 1e6).alias("balance"),
+        (F.col("o_orderkey") % 5 + 1).alias("w"),
+    )
+    return rounded(correlate.correlation_matrix(rows, ["price", "balance"], weight="w"))
+
+
 def death_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.death_cells(cohort(spark, sf_dir))
 
@@ -216,11 +228,11 @@ def _kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def folds_random(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return folds.fold_sizes(write_stage(folds.random_folds(R.model_rows(cohort(spark, sf_dir))), "folds"))
+    return folds.fold_sizes(write_stage(folds.random_folds(R.model_rows(cohort(spark, sf_dir))), "folds"), k=D.FOLDS)
 
 
 def folds_by_key(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return folds.fold_sizes(folds.key_folds(cohort(spark, sf_dir), ["case_id"]))
+    return folds.fold_sizes(folds.key_folds(cohort(spark, sf_dir), ["case_id"]), k=D.FOLDS)
 
 
 def folds_stratified(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -228,7 +240,7 @@ def folds_stratified(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def fold_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return folds.fold_sizes(folds.stratified_folds(_kinds(spark, sf_dir)), "rows")
+    return folds.fold_sizes(folds.stratified_folds(_kinds(spark, sf_dir)), "rows", D.FOLDS)
 
 
 def fold_sizes_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -283,9 +295,9 @@ def fold_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def rank_configs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The five best states by accuracy."""
+    """All states from best to worst by accuracy."""
     means = rounded(_by_state(spark, sf_dir))
-    return metrics.rank_configs(means, "accuracy").limit(5).select("res_state", "accuracy")
+    return metrics.rank_configs(means, "accuracy").select("res_state", "accuracy", "position")
 
 
 def best_configs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -366,7 +378,7 @@ def cluster_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
-    q.__name__: q
+    q.__name__: prepared(q)
     for q in (
         case_table,
         src_csv_roundtrip,
@@ -398,6 +410,7 @@ QUERIES: dict[str, Query] = {
         describe_intervals,
         correlation,
         correlation_rows,
+        correlation_weighted,
         death_cells,
         death_cells_tally,
         split_random,

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from caseloom import domain as D
 from caseloom import functions as X
 from caseloom.operators import aggregate as A
-from caseloom.operators import clean, metrics, shares
+from caseloom.operators import clean, correlate, folds, grid, metrics, shares
 from caseloom.operators.correlate import correlation_matrix
 from caseloom.plans import reports as R
 
@@ -116,6 +116,38 @@ def test_valid_intervals(spark):
     assert rows(A.valid_intervals(df)) == [("0", "0"), ("3", "4")]
 
 
+def test_valid_intervals_compare_the_number(spark):
+    nan = float("nan")
+    df = spark.createDataFrame([(-0.5, "1"), (2.5, "2.5"), (3e9, "0"), (nan, "1"), (1.0, "-0.5"), (1.0, "NaN")], "a double, b string")
+    assert sorted(map(tuple, A.valid_intervals(df, ["a", "b"]).collect())) == [(2.5, "2.5"), (3e9, "0")]
+
+
+@pytest.mark.parametrize("offset", [0.0, 1e6, 1e9])
+def test_weighted_correlation_far_from_zero(spark, offset):
+    points = [(1.0, 9.0), (2.0, 7.0), (3.0, 6.0), (4.0, 2.0), (5.0, 1.0)]
+    df = spark.createDataFrame([(x + offset, y + offset, 1) for x, y in points], "x double, y double, w int")
+    one = {(r["x"], r["y"]): r["r"] for r in correlate.correlation_matrix(df, ["x", "y"], weight="w").collect()}
+    two = {(r["x"], r["y"]): r["r"] for r in correlate.correlation_matrix(df.drop("w"), ["x", "y"]).collect()}
+    assert one.keys() == two.keys()
+    assert all(abs(one[k] - two[k]) < 1e-9 for k in one)
+
+
+def test_a_metric_without_any_value_stays(spark):
+    df = spark.createDataFrame([("a", 0.5, float("nan")), ("b", 0.7, float("nan"))], "config string, accuracy double, precision double")
+    best = {r["metric"]: r for r in metrics.best_configs(df, ["config"], metrics=["accuracy", "precision"]).collect()}
+    assert best["accuracy"]["config"] == "b"
+    assert best["precision"]["config"] is None and best["precision"]["value"] != best["precision"]["value"]
+
+
+def test_empty_folds_are_listed(spark):
+    df = spark.createDataFrame([(0,), (0,), (2,)], "fold int")
+    assert sorted(map(tuple, folds.fold_sizes(df, k=4).collect())) == [(0, 1, 2), (1, 3, 0), (2, 2, 1), (3, 3, 0)]
+
+
+def test_extreme_thresholds():
+    assert grid._log_odds(0.0) == float("-inf") and grid._log_odds(1.0) == float("inf") and grid._log_odds(0.5) == 0.0
+
+
 def test_constant_column_has_no_correlation(spark):
     df = spark.createDataFrame([(1.0, 1.0, 5.0), (2.0, 4.0, 5.0), (3.0, 9.0, 5.0), (None, 0.0, 1.0)], "a double, b double, c double")
     got = {(x, y): r for x, y, r in rows(correlation_matrix(df))}
