@@ -236,11 +236,11 @@ def connect(links: DataFrame, rounds: int = 60) -> DataFrame:
         small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
         edges = write_stage(small.filter("u <> v").distinct(), "edges")
         # Stars are settled when every node has one edge and no root has any.
-        forked, _, chained = (
+        forked, chained = (
             edges.groupBy("u").agg(F.count(F.lit(1)).alias("n"), F.lit(0).alias("r"))
             .unionByName(edges.select(F.col("v").alias("u")).distinct().select("u", F.lit(0).cast("bigint").alias("n"), F.lit(1).alias("r")))
             .groupBy("u").agg(F.sum("n").alias("n"), F.max("r").alias("r"))
-            .agg(F.count_if("n > 1"), F.count(F.lit(1)), F.count_if("n > 0 and r > 0")).first()
+            .agg(F.count_if(F.col("n") > 1), F.count_if((F.col("n") > 0) & (F.col("r") > 0))).first()
         )
         if not forked and not chained:
             break
