@@ -100,4 +100,10 @@ QUERIES: dict[str, Query] = {
         op10_quality_rules,
     )
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op9_exact_dedup": r"""with n as (
+select doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') as norm from documents)
+select doc_id, min(doc_id) over same as keep_id, count(*) over same as group_size,
+ doc_id = min(doc_id) over same as kept, sha256(norm) as text_sha256
+from n window same as (partition by norm)""",
+}
