@@ -15,9 +15,11 @@ An empty table gives an empty result.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -30,31 +32,75 @@ from caseloom.sources.sinks import write_stage
 LIMIT = 4096
 END_ID = 1
 ROWS_PER_RANGE = 1000
-#: Words whose ids a worker remembers; beyond it the memory starts anew.
-MEMORY = 400_000
-_ASCII_SPACE = str.maketrans({c: " " for c in "\t\n\x0b\x0c\r"})
+#: Words, and parts of words, whose ids a worker remembers; beyond it the older half goes.
+MEMORY = 600_000
+#: Letters that lower-case one by one and never combine, then marks that never join letters.
+_PLAIN_WORD = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([.,;:!?#*$%&|<>()-]*)")
 
 
-class WordIds(dict):
-    """Token ids of words as little-endian bytes, computed once per worker. The tokenizer
-    splits at white space and no token holds any, so a text's ids are those of its words."""
+class Memory(dict):
+    """Ids by word. A full memory keeps what was met last, so that it stays bounded."""
+
+    def put(self, word: str, ids: bytes) -> bytes:
+        if len(self) >= MEMORY:
+            for old in list(islice(self, MEMORY // 2)):
+                del self[old]
+        self[word] = ids
+        return ids
+
+
+class WordIds(Memory):
+    """Token ids of words as little-endian bytes. The tokenizer lower-cases, splits at white
+    space and between letters and marks, and no token spans two such parts; so a text's ids
+    are those of its words, and a plain word's are those of its letters and its marks."""
 
     def __init__(self, path: str):
         super().__init__()
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
+        # For single parts in lower case: the same merges without the regular expressions.
+        self.bare = Tokenizer(self.tokenizer.model)
+        self.bare.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.model = self.tokenizer.model  # reads ASCII as it is
+        self.parts = Memory()
+
+    @staticmethod
+    def encode(tokenizer, text: str) -> bytes:
+        return np.asarray(tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+
+    def part(self, text: str) -> bytes:
+        found = self.parts.get(text)
+        if found is not None:
+            return found
+        if text.isascii():
+            return self.parts.put(text, np.asarray([t.id for t in self.model.tokenize(text)], dtype="<u4").tobytes())
+        return self.parts.put(text, self.encode(self.bare, text))
 
     def __missing__(self, word: str) -> bytes:
-        ids = self.tokenizer.encode(word, add_special_tokens=False).ids
-        found = np.asarray(ids, dtype="<u4").tobytes()
-        if len(self) >= MEMORY:
-            self.clear()
-        self[word] = found
-        return found
+        plain = _PLAIN_WORD.fullmatch(word)
+        if plain is None:
+            return self.put(word, self.encode(self.tokenizer, word))
+        letters, marks = plain.groups()
+        ids = self.part(letters.lower())
+        return self.put(word, ids + self.part(marks) if marks else ids)
 
     def of(self, text: str) -> bytes:
-        return b"".join(map(self.__getitem__, text.translate(_ASCII_SPACE).split(" ")))
+        for space in "\t\n\x0b\x0c\r":
+            text = text.replace(space, " ")
+        return b"".join(map(self.__getitem__, text.split(" ")))
+
+
+def worker_words(path: str) -> WordIds:
+    """The memory of this worker process. Functions travel by value and their globals are
+    new in each task, so it hangs on the tokenizer library, which is imported once."""
+    import tokenizers
+
+    memories = tokenizers.__dict__.setdefault("_caseloom_words", {})
+    if path not in memories:
+        memories[path] = WordIds(path)
+        memories[path][""] = b""
+    return memories[path]
 
 
 def tokenize(docs: DataFrame, tokenizer: str, limit: int = LIMIT, end_id: int = END_ID, doc_id: str = "doc_id", text: str = "text", with_ids: bool = False) -> DataFrame:
@@ -65,8 +111,7 @@ def tokenize(docs: DataFrame, tokenizer: str, limit: int = LIMIT, end_id: int =
     schema = f"doc_id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint" + (", ids binary" if with_ids else "")
 
     def pieces(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words = WordIds(tokenizer)
-        words[""] = b""
+        words = worker_words(tokenizer)
         for frame in frames:
             rows: list[tuple] = []
             for key, body in zip(frame["doc_id"].to_numpy(), frame["text"], strict=True):
