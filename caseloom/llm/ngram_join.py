@@ -282,11 +282,12 @@ def jaccard_links(docs: DataFrame, classes: DataFrame, table: np.ndarray, num: i
     tokens = write_stage(prefixes(docs, table, num, den, n).join(reps, "doc_id"), "prefixes")
     tokens = tokens.select("doc_id", "size", F.posexplode("prefix").alias("pos", "token"))
     # An n-gram in one prefix only pairs nothing.
-    held = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("pos", "doc_id", "size")).alias("p"))
-    held = write_stage(held.filter("n > 1").select("token", "n", "p"), "shared-tokens")
-    tokens = write_stage(tokens.join(held.select("token", "n"), "token"), "shared-prefixes")
+    held = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    tokens = write_stage(tokens.join(held, "token"), "shared-prefixes")
 
-    pivots = held.filter(F.col("n") > hot).select("token", F.col("p.doc_id").alias("doc_id"), F.col("p.size").alias("size"), F.col("p.pos").alias("pos"))
+    # Counts alone go through the large shuffle; pivots are chosen among the hot n-grams.
+    pivots = tokens.filter(F.col("n") > hot).groupBy("token").agg(F.min(F.struct("pos", "doc_id", "size")).alias("p"))
+    pivots = pivots.select("token", F.col("p.doc_id").alias("doc_id"), F.col("p.size").alias("size"), F.col("p.pos").alias("pos"))
     one, two = pivots.alias("x"), tokens.filter(F.col("n") > hot).alias("y")
     on = (F.col("x.token") == F.col("y.token")) & (F.col("x.doc_id") != F.col("y.doc_id")) & _filters(num, den, "x", "y")
     ids = (F.least("x.doc_id", "y.doc_id").alias("a"), F.greatest("x.doc_id", "y.doc_id").alias("b"))
