@@ -308,12 +308,14 @@ def jaccard_links(docs: DataFrame, classes: DataFrame, table: np.ndarray, num: i
     met = met.groupBy("a", "b", "size_a", "size_b").agg(F.count(F.lit(1)).alias("shared"))
     pairs = met.filter(_enough_shared(num, den)).select("a", "b").distinct()
     pairs = write_stage(pairs.join(first, ["a", "b"], "left_anti"), "pairs")
-    return near.unionByName(verify(pairs, _sets_of(docs, pairs, n), num, den))
+    return near.unionByName(verify(pairs, _sets_of(docs, pairs, n, "merge"), num, den))
 
 
-def _sets_of(docs: DataFrame, pairs: DataFrame, n: int) -> DataFrame:
-    """The whole sets of the documents that occur in pairs."""
+def _sets_of(docs: DataFrame, pairs: DataFrame, n: int, how: str | None = None) -> DataFrame:
+    """The whole sets of the documents that occur in pairs. Ids of which the number grows with
+    the corpus are joined by a merge at every size; few are left to Spark's check of size."""
     asked = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    asked = asked.hint(how) if how else asked
     return write_stage(gram_sets(docs.join(asked, "doc_id", "left_semi"), n), "gram-sets")
 
 
