@@ -5,9 +5,8 @@
 2. N-grams are ordered rare first. The order comes from a fixed table of counts per hash
    slot over all documents; a total order makes the join exact whatever the counts are.
 3. Each class emits its prefix: the n-grams of which a similar set must share at least one.
-   Classes meet on them under the length filter and the positional filter, which bounds the
-   overlap by where the shared one lies. Pairs are counted over all the n-grams that their
-   prefixes share, and stay if these and the n-grams behind the prefixes can be enough.
+   Classes meet on them under the length filter and the positional filter, which demands
+   that enough n-grams remain behind the shared one.
 4. Prefix n-grams held by more than ``hot`` classes are first joined with one pivot each,
    the class in which that n-gram comes earliest. Classes found similar to a pivot are one
    component and are not paired with each other again, so that a group of thousands of
@@ -252,26 +251,12 @@ def connect(links: DataFrame, rounds: int = 60) -> DataFrame:
 
 
 def _filters(num: int, den: int, left: str, right: str):
-    """Length and positional filter for a shared n-gram at positions ``pos`` of two sets:
-    of what lies before it and from it on, the smaller sides bound the overlap."""
+    """Length and positional filter for a shared n-gram at positions ``pos`` of two sets. The
+    first n-gram that similar sets share always passes."""
     size_a, size_b = F.col(f"{left}.size"), F.col(f"{right}.size")
-    pos_a, pos_b = F.col(f"{left}.pos"), F.col(f"{right}.pos")
-    most = F.least(pos_a, pos_b) + F.least(size_a - pos_a, size_b - pos_b)
+    rest = F.least(size_a - F.col(f"{left}.pos"), size_b - F.col(f"{right}.pos"))
     length = (den * size_a >= num * size_b) & (den * size_b >= num * size_a)
-    return length & ((num + den) * most >= num * (size_a + size_b))
-
-
-def _beyond_prefix(num: int, den: int, size):
-    """How many n-grams of a set lie behind its prefix, as a column."""
-    return F.ceil(num * size / den) - 1
-
-
-def _enough_shared(num: int, den: int):
-    """The prefix filter on all n-grams that two prefixes share. The prefix that ends first in
-    the common order was met whole, so the overlap is at most ``shared`` and the rest of that
-    set; not knowing which one, the longer rest bounds it."""
-    rest = F.greatest(_beyond_prefix(num, den, F.col("size_a")), _beyond_prefix(num, den, F.col("size_b")))
-    return (num + den) * (F.col("shared") + rest) >= num * (F.col("size_a") + F.col("size_b"))
+    return length & ((num + den) * rest >= num * (size_a + size_b))
 
 
 def jaccard_links(docs: DataFrame, classes: DataFrame, table: np.ndarray, num: int, den: int, n: int, hot: int) -> DataFrame:
@@ -304,9 +289,7 @@ def jaccard_links(docs: DataFrame, classes: DataFrame, table: np.ndarray, num: i
     marked = write_stage(marked, "marked-prefixes")
     one, two = marked.alias("x"), marked.alias("y")
     on = (F.col("x.token") == F.col("y.token")) & (F.col("x.doc_id") < F.col("y.doc_id")) & (F.col("x.root") != F.col("y.root")) & _filters(num, den, "x", "y")
-    met = one.join(two, on).select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b"), F.col("x.size").alias("size_a"), F.col("y.size").alias("size_b"))
-    met = met.groupBy("a", "b", "size_a", "size_b").agg(F.count(F.lit(1)).alias("shared"))
-    pairs = met.filter(_enough_shared(num, den)).select("a", "b").distinct()
+    pairs = one.join(two, on).select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).distinct()
     pairs = write_stage(pairs.join(first, ["a", "b"], "left_anti"), "pairs")
     return near.unionByName(verify(pairs, _sets_of(docs, pairs, n, "merge"), num, den))
 
