@@ -132,7 +132,7 @@ def training_rows(docs: DataFrame, per_language: int = PER_LANGUAGE, doc_id: str
     counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).withColumnRenamed("lang", "counted")
     share = F.lit(float(per_language)) / F.col("n")
     draw = F.pmod(F.xxhash64("doc_id", "lang"), F.lit(1_000_000)) / 1e6
-    return rows.join(F.broadcast(counts), F.col("lang") == F.col("counted")).filter(draw < share).select("text", "lang")
+    return rows.join(counts, F.col("lang") == F.col("counted")).filter(draw < share).select("text", "lang")
 
 
 def features(rows: DataFrame, keep: str) -> DataFrame:
