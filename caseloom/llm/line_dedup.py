@@ -2,7 +2,8 @@
 
 A line (spaces collapsed) is boilerplate if it occurs in enough different sites: in
 ``min_sites`` of them, or in ``min_sites_long`` if it has ``long_words`` words or more.
-Lines with fewer than ``min_words`` words are left alone, since such lines meet by chance.
+Lines with fewer than ``min_words`` words also meet by chance and need ``min_sites_short``.
+In scripts without spaces two characters count as a word.
 Spread is first estimated with HyperLogLog sketches, one per line hash, merged by the
 aggregation; lines whose estimate is near the threshold get an exact distinct count. Of a
 boilerplate line the first occurrence (smallest id, then position) stays, so a group of
@@ -24,27 +25,32 @@ MIN_SITES = 10
 MIN_SITES_LONG = 3
 LONG_WORDS = 8
 MIN_WORDS = 3
+MIN_SITES_SHORT = 20
+#: Characters of scripts that put no spaces between words.
+UNSPACED = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}]"
 #: Sketches of 4096 registers; three standard errors are 5 %.
 LG_K = 12
 BAND = 0.05
 
 
-def _needed(words: Column, min_sites: int, min_sites_long: int, long_words: int) -> Column:
-    return F.when(words >= long_words, min_sites_long).otherwise(min_sites)
+def _needed(words: Column, min_sites: int, min_sites_long: int, long_words: int, min_words: int, min_sites_short: int) -> Column:
+    short = F.when(words < min_words, max(min_sites, min_sites_short))
+    return short.when(words >= long_words, min_sites_long).otherwise(min_sites)
 
 
-def line_table(docs: DataFrame, min_words: int = MIN_WORDS, doc_id: str = "doc_id", text: str = "text", site: str = "source") -> DataFrame:
-    """``doc_id, text_key, pos, line, n_words, site`` for every line with enough words; the
-    line is a 64-bit hash."""
+def line_table(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", site: str = "source") -> DataFrame:
+    """``doc_id, text_key, pos, line, n_words, site`` for every line that is not empty;
+    the line is a 64-bit hash."""
     plain = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.coalesce(F.col(site).cast("string"), F.lit("")).alias("site"))
     lines = plain.select("doc_id", F.xxhash64("text").alias("text_key"), "site", F.posexplode(F.split("text", "\n")).alias("pos", "raw"))
     lines = lines.withColumn("norm", F.trim(F.regexp_replace("raw", SPACE, " ")))
     n_words = F.length("norm") - F.length(F.replace(F.col("norm"), F.lit(" "), F.lit(""))) + 1
-    lines = lines.withColumn("n_words", n_words).filter((F.col("n_words") >= min_words) & (F.col("norm") != ""))
+    wide = F.when(F.octet_length("norm") > F.length("norm"), F.ceil(F.regexp_count("norm", F.lit(UNSPACED)) / 2).cast("int")).otherwise(0)
+    lines = lines.filter(F.col("norm") != "").withColumn("n_words", F.greatest(n_words, wide))
     return lines.select("doc_id", "text_key", "pos", F.xxhash64("norm").alias("line"), F.least("n_words", F.lit(LONG_WORDS * 1000)).alias("n_words"), "site")
 
 
-def boilerplate(lines: DataFrame, min_sites: int = MIN_SITES, min_sites_long: int = MIN_SITES_LONG, long_words: int = LONG_WORDS, band: float = BAND) -> DataFrame:
+def boilerplate(lines: DataFrame, min_sites: int = MIN_SITES, min_sites_long: int = MIN_SITES_LONG, long_words: int = LONG_WORDS, band: float = BAND, min_words: int = MIN_WORDS, min_sites_short: int = MIN_SITES_SHORT) -> DataFrame:
     """``line`` and its ``first`` occurrence, for the lines spread widely enough."""
     # Fewer occurrences than sites needed settle a line without a sketch.
     often = lines.groupBy("line").agg(
@@ -52,7 +58,7 @@ def boilerplate(lines: DataFrame, min_sites: int = MIN_SITES, min_sites_long: in
         F.max("n_words").alias("n_words"),
         F.min(F.struct("doc_id", "text_key", "pos")).alias("first"),
     )
-    often = often.withColumn("needed", _needed(F.col("n_words"), min_sites, min_sites_long, long_words))
+    often = often.withColumn("needed", _needed(F.col("n_words"), min_sites, min_sites_long, long_words, min_words, min_sites_short))
     often = write_stage(often.filter(F.col("n") >= F.col("needed")), "frequent-lines")
     frequent = lines.join(often.select("line"), "line", "left_semi")
     spread = frequent.groupBy("line").agg(F.hll_sketch_estimate(F.hll_sketch_agg("site", F.lit(LG_K))).alias("sites"))
@@ -65,20 +71,20 @@ def boilerplate(lines: DataFrame, min_sites: int = MIN_SITES, min_sites_long: in
     return judged.join(exact, "line", "left").filter(sites >= F.col("needed")).select("line", "first")
 
 
-def removals(docs: DataFrame, min_sites: int = MIN_SITES, min_sites_long: int = MIN_SITES_LONG, long_words: int = LONG_WORDS, min_words: int = MIN_WORDS, doc_id: str = "doc_id", text: str = "text", site: str = "source") -> DataFrame:
+def removals(docs: DataFrame, min_sites: int = MIN_SITES, min_sites_long: int = MIN_SITES_LONG, long_words: int = LONG_WORDS, min_words: int = MIN_WORDS, doc_id: str = "doc_id", text: str = "text", site: str = "source", min_sites_short: int = MIN_SITES_SHORT) -> DataFrame:
     """``doc_id, text_key`` and the positions of the lines to ``drop``, of documents that
     lose any."""
-    lines = write_stage(line_table(docs, min_words, doc_id, text, site), "lines")
-    found = write_stage(boilerplate(lines, min_sites, min_sites_long, long_words), "boilerplate")
+    lines = write_stage(line_table(docs, doc_id, text, site), "lines")
+    found = write_stage(boilerplate(lines, min_sites, min_sites_long, long_words, min_words=min_words, min_sites_short=min_sites_short), "boilerplate")
     hits = lines.join(found, "line")
     same = F.struct("doc_id", "text_key", "pos").eqNullSafe(F.col("first"))
     return hits.filter(~same).groupBy("doc_id", "text_key").agg(F.collect_set("pos").alias("drop"))
 
 
-def dedup_lines(docs: DataFrame, min_sites: int = MIN_SITES, min_sites_long: int = MIN_SITES_LONG, long_words: int = LONG_WORDS, min_words: int = MIN_WORDS, doc_id: str = "doc_id", text: str = "text", site: str = "source", counts: tuple[str, str] | None = None) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_sites: int = MIN_SITES, min_sites_long: int = MIN_SITES_LONG, long_words: int = LONG_WORDS, min_words: int = MIN_WORDS, doc_id: str = "doc_id", text: str = "text", site: str = "source", counts: tuple[str, str] | None = None, min_sites_short: int = MIN_SITES_SHORT) -> DataFrame:
     """The documents with the spread lines removed; with ``counts``, two columns so named
     (lines of the text, lines removed) more. A text loses its dropped lines with their line ends."""
-    drops = write_stage(removals(docs, min_sites, min_sites_long, long_words, min_words, doc_id, text, site), "line-drops")
+    drops = write_stage(removals(docs, min_sites, min_sites_long, long_words, min_words, doc_id, text, site, min_sites_short), "line-drops")
     d_id, d_key, d_drop, key = fresh(docs, "drop_id", "drop_key", "drop_lines", "row_key")
     drops = drops.select(F.col("doc_id").alias(d_id), F.col("text_key").alias(d_key), F.col("drop").alias(d_drop))
     rows = docs.withColumn(key, F.xxhash64(text))

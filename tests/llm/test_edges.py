@@ -156,6 +156,15 @@ def test_lines(spark):
     assert found[0]["text"] == rows[0][1] and found[1]["text"] == "own 1" and found[1]["b"] == 1
 
 
+def test_short_lines(spark):
+    wide = "本网站使用缓存请点击同意继续浏览"
+    rows = [(i, f"Les.\nown text of {i}", f"s{i}") for i in range(20)] + [(20 + i, f"The.\nown text of {20 + i}", f"s{i}") for i in range(19)]
+    rows += [(40 + i, f"{wide}\nown text of {40 + i}", f"s{i}") for i in range(3)]
+    found = plain(line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id bigint, text string, source string")))
+    for i, text, _ in rows:
+        assert found[i]["text"] == (text if i == 0 or 20 <= i <= 40 else text.partition("\n")[2])
+
+
 def test_languages(spark):
     rows = [(i, t, lang) for i, (t, lang) in enumerate([("the house and the dog", "en"), ("das haus und der hund", "de"), ("la maison et le chien", "fr"), (None, "en"), ("123", None)] * 40)]
     df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
