@@ -4,7 +4,8 @@ Base matches of four kinds are found and checked by rule; they always stay. Next
 stand candidates: card-like numbers whose check digit fails, phone numbers in local form,
 defanged addresses and e-mail addresses written out. Three labelers vote on every span:
 
-* regex: the strict shape or the check digit of the kind,
+* regex: the strict shape or the check digit of the kind; of a candidate, the strict shape
+  once its writing is undone,
 * gazetteer: known issuer prefixes, private network heads, mail domains, area codes,
 * context: words before the span that speak for personal data or against it.
 
@@ -53,6 +54,12 @@ _EMAIL_SPELT = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64} ?(?:\[at\]|\(at\))
 _IP_DEFANGED = r"(?<![0-9])[0-9]{1,3}(?:(?:\[\.\]|\(\.\)|\[dot\])[0-9]{1,3}){3}(?![0-9])"
 _PHONE_LOCAL = r"(?<![0-9A-Za-z+(-])(?:\([0-9]{3}\) ?|[0-9]{3}[-. ])[0-9]{3}[-. ][0-9]{4}(?![0-9A-Za-z-])"
 
+# Strict shapes of candidates, the first two after bracketed signs are written as signs.
+# Top-level domains: two letters (countries), or of the common generic ones.
+_TOP = r"(?:[a-z]{2}|com|org|net|edu|gov|mil|int|info|biz|name|pro|mobi|museum|travel|jobs|coop|aero|asia|app|dev|cloud|online|site|shop|store|blog|tech|email|xyz|web|live|news|agency|company|xn--[a-z0-9-]+)"
+_EMAIL_STRICT = rf"(?i)^[a-z0-9_](?:[a-z0-9._%+-]*[a-z0-9_])?@(?:[a-z0-9](?:[a-z0-9-]*[a-z0-9])?\.)+{_TOP}$"
+_CARD_STRICT = r"^[0-9]{4}([\x20-])[0-9]{4}\1[0-9]{4}\1[0-9]{4}$|^[0-9]{4}([\x20-])[0-9]{6}\2[0-9]{5}$"
+
 # Words before a span, in English, German, French and Spanish.
 FOR = r"(?i)\b(card|visa|mastercard|amex|credit|karte|kreditkarte|carte|tarjeta|phone|tel|telephone|mobile|call|fax|telefon|handy|anruf|téléphone|appelez|teléfono|móvil|llame|e-?mail|mail|contact|write to|kontakt|courriel|correo|ip|address|server|login|adresse|dirección)\W{0,12}$"
 AGAINST = r"(?i)\b(token|key|hash|sha|md5|id|uuid|version|v|order|invoice|isbn|issn|serial|commit|build|page|chapter|section|rfc|figure|table)\W{0,12}$"
@@ -127,15 +134,21 @@ def _spans(text: Column) -> Column:
     return F.concat(email, ip, card, phone, spelt, defanged, local)
 
 
+def plainly(t: Column) -> Column:
+    """A written-out or defanged address with its signs; other spaces stay."""
+    signs = F.regexp_replace(t, r"\x20?[\[(]at[\])]\x20?", "@")
+    return F.regexp_replace(signs, r"\x20?[\[(](?:dot|\.)[\])]\x20?", ".")
+
+
 def _votes(text: Column, x: Column) -> Column:
     """A span with the votes of the labelers: 1 for, -1 against, 0 none."""
     kind, t = x["kind"], x["t"]
     pick = lambda *cases: F.when(kind == 0, cases[0]).when(kind == 1, cases[1]).when(kind == 2, cases[2]).otherwise(cases[3])
     number = digits(t)
     strict = pick(
-        x["base"] & t.rlike(r"\.[A-Za-z]{2,}$"),
-        x["base"],
-        x["base"],
+        F.when(x["base"], t.rlike(r"\.[A-Za-z]{2,}$")).otherwise(plainly(t).rlike(_EMAIL_STRICT)),
+        x["base"] | plainly(t).rlike(_IP_VALID),
+        x["base"] | t.rlike(_CARD_STRICT),
         x["base"] | t.rlike(r"^(\([0-9]{3}\) ?[0-9]{3}-[0-9]{4}|[0-9]{3}([-. ])[0-9]{3}\2[0-9]{4})$"),
     )
     known = pick(t.rlike(MAIL), ~t.rlike(PRIVATE), number.rlike(ISSUERS), F.when(x["base"], F.length(number) >= 10).otherwise(t.rlike(AREA)))
@@ -174,7 +187,7 @@ def vote_patterns(found: DataFrame) -> DataFrame:
 
 @dataclass
 class Reliability:
-    """Per kind: share of personal data, and per labeler the chance of its votes -1, 0, 1 for
+    """Per kind: share of personal data among candidates, and per labeler the chance of its votes -1, 0, 1 for
     personal data and for the rest."""
 
     prior: dict[int, float]
@@ -188,21 +201,36 @@ class Reliability:
             odds += math.log(yes / no)
         return 1 / (1 + math.exp(-odds))
 
+    def label(self, row) -> float:
+        """The same for candidates; base spans are personal data whatever their votes."""
+        return 1.0 if row["base"] else self.chance(row)
+
 
 def estimate(patterns: list[Row], rounds: int = ROUNDS) -> Reliability:
     """Expectation maximisation for labelers that vote independently given the truth. It
-    reads the counts of vote patterns and starts from the majority."""
+    reads the counts of vote patterns and starts from the majority; base spans are known."""
     votes = {(k, n, v): {-1: (0.15, 0.7), 0: (0.3, 0.3), 1: (0.7, 0.15)}[v] for k in range(len(KINDS)) for n in LABELERS for v in (-1, 0, 1)}
     model = Reliability({k: 0.5 for k in range(len(KINDS))}, votes)
     for _ in range(rounds):
-        yes, no = Counter(), Counter()
+        yes, no, open_yes, open_no = Counter(), Counter(), Counter(), Counter()
         for row in patterns:
-            p, k = model.chance(row), row["kind"]
+            p, k = model.label(row), row["kind"]
             for key in [k, *[(k, name, row[name]) for name in LABELERS]]:
                 yes[key] += row["n"] * p
                 no[key] += row["n"] * (1 - p)
-        prior = {k: (yes[k] + 1) / (yes[k] + no[k] + 2) for k in model.prior}
+            if not row["base"]:
+                open_yes[k] += row["n"] * p
+                open_no[k] += row["n"] * (1 - p)
+        prior = {k: (open_yes[k] + 1) / (open_yes[k] + open_no[k] + 2) for k in model.prior}
         votes = {key: ((yes[key] + 1) / (yes[key[0]] + 3), (no[key] + 1) / (no[key[0]] + 3)) for key in model.votes}
+        # A vote for is at least twice as likely for personal data; else nothing tells the
+        # classes apart where a labeler gives all spans the same vote.
+        for k, name, v in model.votes:
+            if v == 1 and (spare := votes[k, name, 1][1] - votes[k, name, 1][0] / 2) > 0:
+                rest = votes[k, name, -1][1] + votes[k, name, 0][1]
+                for w in (-1, 0, 1):
+                    y, x = votes[k, name, w]
+                    votes[k, name, w] = (y, x - spare if w == 1 else x * (1 + spare / rest))
         moved = max(abs(prior[k] - model.prior[k]) for k in prior)
         model = Reliability(prior, votes)
         if moved < 1e-5:
@@ -227,7 +255,7 @@ def train(spark: SparkSession, patterns: list[Row], reliability: Reliability) ->
         return None
     rows = []
     for row in patterns:
-        p, own = reliability.chance(row), {name: row[name] for name in ("kind", *LABELERS, "n_digits")}
+        p, own = reliability.label(row), {name: row[name] for name in ("kind", *LABELERS, "n_digits")}
         rows += [own | {"label": 1.0, "w": row["n"] * p}, own | {"label": 0.0, "w": row["n"] * (1 - p)}]
     columns = ", ".join(f"{name}: int" for name in ("kind", *LABELERS, "n_digits"))
     named = _features()

@@ -71,6 +71,19 @@ def test_personal_data(odd):
         assert tuple(found[i][f"n_{k}"] for k in pii.KINDS) == counts and found[i]["base_sha256"] == digest
 
 
+@pytest.mark.parametrize("n", [60, 3000])
+def test_addresses_written_out(spark, n):
+    rows = [(i, f"see a{i}@site{i % 7}.example.com or 9.9.{i % 200}.7 and") for i in range(n)]
+    good = ["ann.lee [at] shop.example [dot] org", "bob(at)host.example.com", "8[.]8[.]4[.]4", "203(.)0(.)113(.)9"]
+    bad = ["us (at) noon. then", "me [at] home.sweet", "300[.]1[.]2[.]3", "8[.]8[.]4[.]444"]
+    planted = [(n + i, f"so {t} now", t in good) for i, t in enumerate((good + bad) * (n // 40))]
+    df = spark.createDataFrame(rows + [p[:2] for p in planted], "doc_id bigint, text string")
+    found = plain(pii.detect(df))
+    for i, text, real in planted:
+        at = [(x["s"], x["e"]) for x in found[i]["found"] if not x["base"]]
+        assert at == ([(3, len(text) - 4)] if real else [])
+
+
 def test_exact_copies(odd):
     found = exact_dedup.exact_dedup(odd).collect()
     assert len(found) == len(odd_texts()) + 1
