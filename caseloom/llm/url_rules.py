@@ -8,8 +8,10 @@ fires when all of its tokens are there. Given rules come first; the longest that
 
 A NULL URL, or one without ``://``, has an empty host and path; it matches no rule and is
 allowed. Repeated rows are judged alike. Without labels nothing is mined. Mining reads at
-most ``max_rows`` labelled rows, in order of a hash of the id, and of each the ``max_items``
-rarest frequent tokens; matching uses all tokens of all rows.
+most ``max_rows`` labelled rows, in order of a hash of the id, and all their frequent tokens;
+matching uses all tokens of all rows. Tokens that stand in the same labelled rows are mined
+as one: any of them gives the same counts, and rules that need only one of them fire wherever
+rules that need more do.
 """
 
 from __future__ import annotations
@@ -25,7 +27,6 @@ from caseloom.sources.sinks import write_stage
 ALLOW, BLOCK = "allow", "block"
 BAD = "label:bad"
 MAX_ROWS = 100_000
-MAX_ITEMS = 10
 MIN_ROWS = 30
 MIN_CONFIDENCE = 0.6
 MIN_LIFT = 1.5
@@ -79,27 +80,33 @@ def labelled_urls(pages: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS,
     return rows.select("page", tokens(F.col("url")).alias("items"), "bad")
 
 
-def mine(labelled: DataFrame, min_rows: int = MIN_ROWS, min_confidence: float = MIN_CONFIDENCE, min_lift: float = MIN_LIFT, max_items: int = MAX_ITEMS) -> DataFrame:
-    """``items, confidence, lift, anchor`` of the rules that hold up."""
+def mine(labelled: DataFrame, min_rows: int = MIN_ROWS, min_confidence: float = MIN_CONFIDENCE, min_lift: float = MIN_LIFT) -> DataFrame:
+    """``items, confidence, lift, anchor`` of the rules that hold up. ``items`` has for each
+    token needed the list of those that stand for it, ``anchor`` the list of the rarest."""
     spark = labelled.sparkSession
-    none = spark.createDataFrame([], "items array<string>, confidence double, lift double, anchor string")
-    labelled = write_stage(labelled, "labelled-urls")
+    none = spark.createDataFrame([], "items array<array<string>>, confidence double, lift double, anchor array<string>")
+    labelled = write_stage(labelled.withColumn("row", F.monotonically_increasing_id()), "labelled-urls")
     total, bad = labelled.agg(F.count(F.lit(1)), F.count_if("bad")).first()
     if total < min_rows or bad == 0:
         return none
-    held = labelled.select(F.explode("items").alias("item")).groupBy("item").agg(F.count(F.lit(1)).alias("n"))
-    held = write_stage(held.filter((F.col("n") >= min_rows) & (F.col("n") < 0.95 * total)), "url-items")
-    listed = labelled.select("page", "bad", F.explode("items").alias("item")).join(held, "item")
-    listed = listed.groupBy("page", "bad").agg(F.sort_array(F.collect_set(F.struct("n", "item"))).alias("all"))
-    rare = F.transform(F.slice("all", 1, max_items), lambda x: x["item"])
-    baskets = listed.select(F.when(F.col("bad"), F.concat(rare, F.array(F.lit(BAD)))).otherwise(rare).alias("items"))
+    # Rows as two sums of hashes tell which tokens stand in the same ones.
+    same = [F.bit_xor(F.xxhash64("row")).alias("sig1"), F.bit_xor(F.xxhash64("row", F.lit(1))).alias("sig2")]
+    held = labelled.select("row", F.explode("items").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n"), *same)
+    held = held.filter((F.col("n") >= min_rows) & (F.col("n") < 0.95 * total))
+    held = held.groupBy("n", "sig1", "sig2").agg(F.sort_array(F.collect_set("token")).alias("any"))
+    held = write_stage(held.select(F.get("any", F.lit(0)).alias("item"), "n", "any"), "url-items")
+    listed = labelled.select("row", F.explode("items").alias("item")).join(held.select("item"), "item")
+    listed = labelled.select("row", "bad").join(listed.groupBy("row").agg(F.collect_list("item").alias("all")), "row", "left")
+    every = F.coalesce("all", F.array().cast("array<string>"))
+    baskets = listed.select(F.when(F.col("bad"), F.concat(every, F.array(F.lit(BAD)))).otherwise(every).alias("items"))
     least = min_confidence * min_rows / total
     model = FPGrowth(itemsCol="items", minSupport=least, minConfidence=min_confidence).fit(baskets)
     rules = model.associationRules.filter(F.col("consequent") == F.array(F.lit(BAD)))
     rules = rules.filter(F.col("support") / F.col("confidence") >= min_rows / total).filter(F.col("lift") >= min_lift)
     rules = rules.select(F.col("antecedent").alias("items"), "confidence", "lift")
-    filed = rules.withColumn("item", F.explode("items")).join(held, "item")
-    filed = filed.groupBy("items", "confidence", "lift").agg(F.min(F.struct("n", "item"))["item"].alias("anchor"))
+    filed = rules.withColumn("item", F.explode("items")).join(held, "item").groupBy("items", "confidence", "lift")
+    filed = filed.agg(F.sort_array(F.collect_list(F.struct("n", "item", "any"))).alias("need"))
+    filed = filed.select(F.col("need.any").alias("items"), "confidence", "lift", F.get("need", F.lit(0))["any"].alias("anchor"))
     return write_stage(filed, "url-rules")
 
 
@@ -107,9 +114,9 @@ def fired(pages: DataFrame, rules: DataFrame, page_id: str = "page_id", url: str
     """``page, page_url, confidence`` of the rows that any rule matches."""
     rows = pages.select(F.col(page_id).alias("page"), F.col(url).alias("page_url")).filter("page_url is not null")
     rows = rows.withColumn("have", tokens(F.col("page_url")))
-    index = rules.withColumnRenamed("items", "need").select("need", "confidence", "anchor")
+    index = rules.select(F.col("items").alias("need"), "confidence", F.explode("anchor").alias("anchor"))
     met = rows.withColumn("anchor", F.explode("have")).join(index, "anchor")
-    met = met.filter(F.size(F.array_except("need", "have")) == 0)
+    met = met.filter(F.forall("need", lambda any_: F.arrays_overlap(any_, F.col("have"))))
     return met.groupBy("page", "page_url").agg(F.max("confidence").alias("confidence"))
 
 

@@ -212,6 +212,22 @@ def test_mined_url_rules(spark):
     assert all(r["verdict"] == ("block" if r["page_id"] % 4 == 0 else "allow") for r in found)
 
 
+def test_mined_url_rules_on_many_tokens(spark):
+    """The telling token is the commonest of 13 frequent ones in its rows; in others 20 come together."""
+    slug = lambda i: "/".join(f"t{'abcdefghijklmnopqrst'[(i + k) % 40 % 20] * (1 + (i + k) % 40 // 20)}" for k in range(12))
+    template = "/".join(f"w{'abcdefghijklmnopqrstuvwxyz'[k]}" for k in range(20))
+    url = lambda i: f"http://{'hot' if i % 5 < 2 else 'news'}{'' if i % 5 < 2 else i}.net/{template if i % 5 == 4 else slug(i // 5 * 7 % 40)}"
+    n = 300
+    rows = [(i, url(i)) for i in range(n)]
+    pages = spark.createDataFrame(rows + [(n, "http://hot.org/x"), (n + 1, "http://cold.net/wc")], "page_id bigint, url string")
+    said = spark.createDataFrame([(i, 0 if i % 5 < 2 else 1, 0) for i in range(n)], "doc_id bigint, quality int, toxic int")
+    rules = url_rules.mine(url_rules.labelled_urls(pages, said), min_rows=50)
+    found = {tuple(map(tuple, r["items"])): r["confidence"] for r in rules.collect()}
+    assert found == {(("host:hot",),): 1.0}
+    judged = {r["page_id"]: r["verdict"] for r in url_rules.fired(pages, rules).selectExpr("page as page_id", "'block' as verdict").collect()}
+    assert judged.keys() == {i for i in range(n) if i % 5 < 2} | {n}
+
+
 def test_pipeline_keeps_columns(spark, odd, data):
     docs = odd
     for _, stage in corpus_pipeline.STAGES[:-1]:
