@@ -5,7 +5,8 @@ of hash. The directory is addressed by the leading bits of the key; a bucket wit
 than ``capacity`` different keys splits by its next bit, and the directory doubles when
 the deepest bucket does. Copies never split a bucket: they share a key, are combined
 before they reach it, and count once. Texts with one key form a chain, told apart by
-their bytes.
+their bytes. The answer does not go through the directory: chains are grouped by key and
+text before it is built, and rows meet their heads by key and hash.
 
 NULL texts equal the empty one. A group's row with the smallest id stays; NULL ids lose to
 any other, and a group of NULL ids has a NULL ``keep_id``. Repeated rows (same id, same
