@@ -30,6 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from caseloom.llm.common import fresh
 from caseloom.sources.sinks import write_stage
 
 SLOTS = 1 << 20
@@ -323,8 +324,28 @@ def ngram_jaccard(docs: DataFrame, threshold: tuple[int, int] = (90, 100), n: in
 
 
 def keep_one(docs: DataFrame, threshold: tuple[int, int] = (80, 100), n: int = 5, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents without near copies: of each component the row with the smallest id
-    stays, and every row without words or id."""
-    found = write_stage(ngram_jaccard(docs, threshold, n, doc_id=doc_id, text=text), "near-copies")
-    out = found.filter(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("near_copy_id"))
-    return docs.join(out, F.col(doc_id) == F.col("near_copy_id"), "left_anti")
+    """The documents without near copies: of each component one row stays, that with the
+    smallest id (NULL ids last, then by hashes of text and row). Rows of one id with different
+    texts, or with NULL ids, are documents of their own. Every row without words stays."""
+    known = F.col(doc_id).isNotNull()
+    kind = docs.schema[doc_id].dataType
+    some_text = F.coalesce(F.col(text), F.lit(""))
+    # A key without NULLs that orders rows as they are preferred.
+    name = F.struct(
+        (~known).alias("unnamed"),
+        F.coalesce(F.col(doc_id), F.lit(0).cast(kind)).alias("id"),
+        F.xxhash64(some_text).alias("text1"),
+        F.when(known, F.lit(0).cast("bigint")).otherwise(F.xxhash64(some_text, F.lit(1))).alias("text2"),
+    )
+    key, own, near, again, row = fresh(docs, "row_name", "near_copy_name", "near_copy", "repeated", "row_hash")
+    named = docs.withColumn(key, name)
+    found = write_stage(ngram_jaccard(named, threshold, n, doc_id=key, text=text), "near-copies")
+    near_ = (F.max(F.col("doc_id") != F.col("component_id"))).alias(near)
+    again_ = ((F.count(F.lit(1)) > 1) & (F.max("n_shingles") > 0)).alias(again)
+    marks = found.groupBy(F.col("doc_id").alias(own)).agg(near_, again_).filter(F.col(near) | F.col(again))
+    marks = write_stage(marks, "near-copy-marks")
+    once = named.join(marks, F.col(key) == F.col(own), "left_anti").select(*docs.columns)
+    repeated = named.join(marks.filter(~F.col(near)).select(own), F.col(key) == F.col(own), "left_semi")
+    whole_row = F.struct(*[F.col(c) for c in docs.columns])
+    repeated = repeated.groupBy(key).agg(F.min_by(whole_row, F.xxhash64(whole_row)).alias(row))
+    return once.unionByName(repeated.select(F.col(f"{row}.*")))

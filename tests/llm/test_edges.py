@@ -111,6 +111,17 @@ def test_near_copies(odd, spark):
     assert {1, 2, 3, 6, 8} <= kept and not {7, 9} & kept
 
 
+def test_one_row_of_near_copies(spark):
+    text = lambda k: " ".join(f"{k}w{i}" for i in range(40))
+    rows = [(1, text("a"))] * 50 + [(None, text("a")), (None, text("a") + " end"), (2, text("a"))]
+    rows += [(None, text("b"))] * 3 + [(None, text("b") + " end"), (3, text("c")), (3, text("d")), (4, ""), (4, ""), (None, None)]
+    df = spark.createDataFrame([(*r, f"s{i}") for i, r in enumerate(rows)], "doc_id bigint, text string, source string")
+    kept = ngram_join.keep_one(df)
+    assert kept.columns == df.columns
+    got = [(r["doc_id"], (r["text"] or "")[:1]) for r in kept.collect()]
+    assert sorted(got, key=str) == sorted([(1, "a"), (None, "b"), (3, "c"), (3, "d"), (4, ""), (4, ""), (None, "")], key=str)
+
+
 @pytest.mark.parametrize("hot", [1, 1000])
 def test_groups_with_and_without_pivots(spark, hot):
     rng = np.random.default_rng(3)
