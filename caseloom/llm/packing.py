@@ -9,13 +9,18 @@ says which ranks of each length go where; a piece finds its place by its rank am
 pieces of its length, from counts per (length, hash range) and an order within each. A
 length held by a third of all pieces is thus ranked in many tasks.
 
+Ids are put together from those of words where the tokenizer's own description says that its
+tokens do not span words; otherwise texts are encoded whole.
+
 NULL and empty texts are a lone end id. Repeated rows are packed as often as they occur.
 An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import json
 import re
+import sys
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -32,30 +37,84 @@ from caseloom.sources.sinks import write_stage
 LIMIT = 4096
 END_ID = 1
 ROWS_PER_RANGE = 1000
-#: Words, and parts of words, whose ids a worker remembers; beyond it the older half goes.
-MEMORY = 600_000
+#: Bytes that a task spends on remembered words, and on parts of words; beyond it the older half goes.
+MEMORY_BYTES = 48 << 20
 #: Letters that lower-case one by one and never combine, then marks that never join letters.
 _PLAIN_WORD = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([.,;:!?#*$%&|<>()-]*)")
 
+# The steps of a tokenizer whose ids of a text are those of its words.
+WORD_STEPS = {
+    "normalizer": [
+        {"type": "NFC"},
+        {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "},
+        {"type": "Lowercase"},
+    ],
+    "pretokenizers": [
+        {
+            "type": "Split",
+            "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"},
+            "behavior": "Removed",
+            "invert": True,
+        },
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
+
+
+def splits_at_words(described: str) -> bool:
+    """Whether a tokenizer, given as its JSON, lower-cases, splits at white space and between
+    letters and marks, and has no added token that reaches over a blank."""
+    found = json.loads(described)
+    steps = {
+        "normalizer": (found.get("normalizer") or {}).get("normalizers"),
+        "pretokenizers": (found.get("pre_tokenizer") or {}).get("pretokenizers"),
+    }
+    added = found.get("added_tokens") or []
+    alone = all(t["content"].split() == [t["content"]] and not (t["lstrip"] or t["rstrip"] or t["single_word"]) for t in added)
+    return steps == WORD_STEPS and found["model"]["type"] == "BPE" and not found.get("post_processor") and alone
+
 
 class Memory(dict):
-    """Ids by word. A full memory keeps what was met last, so that it stays bounded."""
+    """Ids by word. A full memory keeps what was met last, so that it stays bounded in bytes."""
+
+    def __init__(self, limit: int):
+        super().__init__()
+        self.limit, self.size = limit, 0
 
     def put(self, word: str, ids: bytes) -> bytes:
-        if len(self) >= MEMORY:
-            for old in list(islice(self, MEMORY // 2)):
+        cost = 110 + sys.getsizeof(word) + sys.getsizeof(ids)
+        if self.size + cost > self.limit:
+            for old in list(islice(self, (len(self) + 1) // 2)):
+                self.size -= 110 + sys.getsizeof(old) + sys.getsizeof(self[old])
                 del self[old]
-        self[word] = ids
+        if cost <= self.limit // 4:
+            self.size += cost
+            self[word] = ids
         return ids
 
 
+def encoded(tokenizer, text: str) -> bytes:
+    return np.asarray(tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+
+
+class WholeIds:
+    """Token ids of texts as little-endian bytes, each text encoded whole."""
+
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+
+    def of(self, text: str) -> bytes:
+        return encoded(self.tokenizer, text)
+
+
 class WordIds(Memory):
-    """Token ids of words as little-endian bytes. The tokenizer lower-cases, splits at white
-    space and between letters and marks, and no token spans two such parts; so a text's ids
+    """The same for a tokenizer of :data:`WORD_STEPS`: no token spans two words, so a text's ids
     are those of its words, and a plain word's are those of its letters and its marks."""
 
-    def __init__(self, path: str):
-        super().__init__()
+    def __init__(self, path: str, limit: int = MEMORY_BYTES):
+        super().__init__(limit)
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -63,11 +122,7 @@ class WordIds(Memory):
         self.bare = Tokenizer(self.tokenizer.model)
         self.bare.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.model = self.tokenizer.model  # reads ASCII as it is
-        self.parts = Memory()
-
-    @staticmethod
-    def encode(tokenizer, text: str) -> bytes:
-        return np.asarray(tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        self.parts = Memory(limit // 2)
 
     def part(self, text: str) -> bytes:
         found = self.parts.get(text)
@@ -75,12 +130,14 @@ class WordIds(Memory):
             return found
         if text.isascii():
             return self.parts.put(text, np.asarray([t.id for t in self.model.tokenize(text)], dtype="<u4").tobytes())
-        return self.parts.put(text, self.encode(self.bare, text))
+        return self.parts.put(text, encoded(self.bare, text))
 
     def __missing__(self, word: str) -> bytes:
+        if not word:
+            return b""
         plain = _PLAIN_WORD.fullmatch(word)
         if plain is None:
-            return self.put(word, self.encode(self.tokenizer, word))
+            return self.put(word, encoded(self.tokenizer, word))
         letters, marks = plain.groups()
         ids = self.part(letters.lower())
         return self.put(word, ids + self.part(marks) if marks else ids)
@@ -91,16 +148,11 @@ class WordIds(Memory):
         return b"".join(map(self.__getitem__, text.split(" ")))
 
 
-def worker_words(path: str) -> WordIds:
-    """The memory of this worker process. Functions travel by value and their globals are
-    new in each task, so it hangs on the tokenizer library, which is imported once."""
-    import tokenizers
-
-    memories = tokenizers.__dict__.setdefault("_caseloom_words", {})
-    if path not in memories:
-        memories[path] = WordIds(path)
-        memories[path][""] = b""
-    return memories[path]
+def task_ids(path: str) -> WordIds | WholeIds:
+    """What a task encodes with; it ends with the task."""
+    with open(path, encoding="utf-8") as described:
+        by_words = splits_at_words(described.read())
+    return WordIds(path) if by_words else WholeIds(path)
 
 
 def tokenize(docs: DataFrame, tokenizer: str, limit: int = LIMIT, end_id: int = END_ID, doc_id: str = "doc_id", text: str = "text", with_ids: bool = False) -> DataFrame:
@@ -111,7 +163,7 @@ def tokenize(docs: DataFrame, tokenizer: str, limit: int = LIMIT, end_id: int =
     schema = f"doc_id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint" + (", ids binary" if with_ids else "")
 
     def pieces(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words = worker_words(tokenizer)
+        words = task_ids(tokenizer)
         for frame in frames:
             rows: list[tuple] = []
             for key, body in zip(frame["doc_id"].to_numpy(), frame["text"], strict=True):
