@@ -9,8 +9,11 @@ aggregation; lines whose estimate is near the threshold get an exact distinct co
 boilerplate line the first occurrence (smallest id, then position) stays, so a group of
 copies keeps one whole text.
 
-A NULL text has no lines and stays NULL. A NULL site counts as one site. Repeated rows (same
-id and text) are treated alike. Documents keep all their columns.
+A NULL text has no lines and stays NULL; the empty text is one empty line, and a line end at the
+end of a text opens an empty line. A NULL site counts as one site. Repeated rows (same id and text)
+are treated alike. Of lines that occur first in several rows with equal ids the one of the smaller
+text hash, then position, is the first. An empty table gives an empty result. Documents keep all
+their columns.
 """
 
 from __future__ import annotations
@@ -85,9 +88,12 @@ def dedup_lines(docs: DataFrame, min_sites: int = MIN_SITES, min_sites_long: int
     """The documents with the spread lines removed; with ``counts``, two columns so named
     (lines of the text, lines removed) more. A text loses its dropped lines with their line ends."""
     drops = write_stage(removals(docs, min_sites, min_sites_long, long_words, min_words, doc_id, text, site, min_sites_short), "line-drops")
-    d_id, d_key, d_drop, key = fresh(docs, "drop_id", "drop_key", "drop_lines", "row_key")
+    d_id, d_key, d_drop, key, whole_lines = fresh(docs, "drop_id", "drop_key", "drop_lines", "row_key", "text_lines")
     drops = drops.select(F.col("doc_id").alias(d_id), F.col("text_key").alias(d_key), F.col("drop").alias(d_drop))
     rows = docs.withColumn(key, F.xxhash64(text))
+    if counts:  # of the text as it comes: a line end at its end opens an empty line
+        n_lines = F.when(F.col(text).isNull(), 0).otherwise(F.regexp_count(text, F.lit("\n")) + 1)
+        rows = rows.withColumn(whole_lines, n_lines.cast("bigint"))
     joined = rows.join(drops, rows[doc_id].eqNullSafe(drops[d_id]) & (rows[key] == drops[d_key]), "left")
     hit = F.col(d_drop).isNotNull()
 
@@ -98,10 +104,8 @@ def dedup_lines(docs: DataFrame, min_sites: int = MIN_SITES, min_sites_long: int
     out = joined.withColumn(text, F.when(hit, bind(F.split(F.col(text), "\n"), without)).otherwise(F.col(text)))
     extra = []
     if counts:
-        n_lines = F.when(F.col(text).isNull(), 0).otherwise(F.regexp_count(text, F.lit("\n")) + 1)
         n_removed = F.coalesce(F.size(d_drop), F.lit(0))
-        n_lines = F.when(hit & (F.col(text) == "") , 0).otherwise(n_lines) + n_removed
-        extra = [n_lines.cast("bigint").alias(counts[0]), n_removed.cast("bigint").alias(counts[1])]
+        extra = [F.col(whole_lines).alias(counts[0]), n_removed.cast("bigint").alias(counts[1])]
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
         out = out.withColumn("n_chars", F.when(hit, F.length(text).cast(kind)).otherwise(F.col("n_chars")))
