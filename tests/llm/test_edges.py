@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import sys
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -163,6 +165,35 @@ def test_packing(odd):
     assert len({(r["sequence_id"], r["offset"]) for r in rows}) == len(rows) == len(truth) + 1
 
 
+def test_tokenizers_that_do_not_split_at_words_read_whole_texts(spark, tmp_path):
+    import json
+
+    from tokenizers import Tokenizer
+
+    with open(Q.tokenizer_path(), encoding="utf-8") as f:
+        described = json.load(f)
+    assert packing.splits_at_words(json.dumps(described))
+    described["pre_tokenizer"]["pretokenizers"][0]["pattern"] = {"Regex": r"\\S+|\\s+"}
+    described["normalizer"]["normalizers"].pop()
+    assert not packing.splits_at_words(json.dumps(described))
+    path = str(tmp_path / "other.json")
+    with open(path, "w", encoding="utf-8") as f:
+        json.dump(described, f)
+    rows = [(1, "Some Words, joined  by  blanks\n"), (2, None), (3, "a b" * 3000)]
+    found = packing.pack(spark.createDataFrame(rows, "doc_id bigint, text string"), path).collect()
+    truth = brute.pieces(rows, Tokenizer.from_file(path))
+    assert {(r["doc_id"], r["piece"]): (r["start"], r["length"], r["ids_crc32"]) for r in found} == truth
+
+
+def test_remembered_words_are_bounded_in_bytes():
+    words = packing.WordIds(Q.tokenizer_path(), limit=20_000)
+    texts = [f"word{i} Ünder{i}, x{i}." for i in range(3000)] + ["y" * 50_000]
+    whole = packing.WholeIds(Q.tokenizer_path())
+    assert all(words.of(t) == whole.of(t) for t in texts)
+    assert words.size <= 20_000 and words.parts.size <= 10_000
+    assert words.size == sum(110 + sys.getsizeof(k) + sys.getsizeof(v) for k, v in words.items())
+
+
 def test_plan_uses_every_piece():
     rng = np.random.default_rng(1)
     histogram = np.bincount(np.clip(rng.lognormal(6.5, 1, 20_000).astype(int), 1, 4096), minlength=4097)
@@ -180,6 +211,14 @@ def test_lines(spark):
     assert found[0]["text"] == rows[0][1] and found[1]["text"] == "own 1" and found[1]["b"] == 1
 
 
+def test_lines_are_counted_in_the_text_as_it_comes(spark):
+    rows = [(i, f"{LINE}\n", f"s{i}") for i in range(4)] + [(4, f"{LINE}", "s4"), (5, f"\n{LINE}\nx\n", "s5"), (6, "", "s6"), (7, None, "s7")]
+    found = plain(line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id bigint, text string, source string"), counts=("a", "b")))
+    assert [(i, found[i]["a"], found[i]["b"], found[i]["text"]) for i in range(8)] == [
+        (0, 2, 0, f"{LINE}\n"), (1, 2, 1, ""), (2, 2, 1, ""), (3, 2, 1, ""), (4, 1, 1, ""), (5, 4, 1, "\nx\n"), (6, 1, 0, ""), (7, 0, 0, None),
+    ]
+
+
 def test_short_lines(spark):
     wide = "本网站使用缓存请点击同意继续浏览"
     rows = [(i, f"Les.\nown text of {i}", f"s{i}") for i in range(20)] + [(20 + i, f"The.\nown text of {20 + i}", f"s{i}") for i in range(19)]
@@ -203,6 +242,43 @@ def test_toxic_words_in_disguise():
     assert match.weight("a trash can") == match.weight("videotape") == match.weight("") == 0.0
 
 
+def test_many_hits_and_exceptions_take_linear_time():
+    import time
+
+    match = toxicity.Matcher(toxicity.Lexicon({"idiot": 4.0, "trash": 4.0}))
+    start = time.perf_counter()
+    assert match.weight("trash can idiot " * 100_000) == 400_000.0
+    assert match.weight("trash can trash " * 100_000) == 400_000.0
+    assert time.perf_counter() - start < 10
+
+
+def test_exceptions_nest():
+    lexicon = toxicity.Lexicon({"trash": 1.0, "clown": 2.0}, ("trash can", "trash can clown fish", "clown fish"))
+    match = toxicity.Matcher(lexicon)
+    assert match.weight("trash can clown fish") == 0.0
+    assert match.weight("trash clown fish trash can clown") == 1.0 + 2.0
+
+
+def test_entries_and_exceptions_are_learned(spark):
+    """Forms of one beginning back off to it; a clean phrase of a toxic word is an exception."""
+    rows = []
+    for i in range(400):
+        own = " ".join(f"{a}{(i * 7 + k * 13) % 89}x".replace("1", "q").replace("3", "w").replace("4", "e").replace("0", "r").replace("5", "z").replace("7", "u") for k, a in enumerate("bdgm"))
+        if i % 8 == 0:
+            text = f"{own} vilex{'abcdefgh'[i // 8 % 8]} grub {own}"
+        elif i % 8 == 1:
+            text = f"{own} the grub hub {own}"
+        else:
+            text = f"{own} plain words {own}"
+        rows.append((i, text, int(i % 8 == 0)))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, toxic int")
+    lexicon = toxicity.fit(docs, docs)
+    assert "vilex" in lexicon.weights and not any(e.startswith("vilex") and e != "vilex" for e in lexicon.weights)
+    assert "grub hub" in lexicon.exceptions or "the grub" in lexicon.exceptions
+    found = plain(toxicity.toxicity(docs, docs))
+    assert all(found[i]["predicted"] == t for i, _, t in rows)
+
+
 def test_toxicity_without_labels(odd, labels):
     found = toxicity.toxicity(odd, labels.limit(0)).collect()
     assert len(found) == len(odd_texts()) + 1 and all(0 <= r["score"] <= 1 for r in found)

@@ -51,6 +51,8 @@ def test_toxicity_on_held_out_rows(spark, data, docs):
     labels = spark.read.parquet(f"{data}/labels.parquet").collect()
     held = [(r["toxic"], found[r["doc_id"]]["predicted"]) for r in labels if found[r["doc_id"]]["held_out"]]
     assert sum(a == b for a, b in held) / len(held) > 0.95
+    toxic, clean = [p for t, p in held if t == 1], [p for t, p in held if t == 0]
+    assert sum(toxic) / len(toxic) >= 0.9 and sum(clean) / len(clean) <= 0.03
 
 
 def test_jaccard_join(spark, data, docs):
@@ -109,7 +111,13 @@ def test_languages_on_held_out_rows(spark, data):
 
 def test_line_dedup(spark, data, docs):
     found = by_id(Q.op8_line_dedup(spark, data))
-    assert {i: r["text"] for i, r in found.items()} == brute.spread_lines(docs)
+    kept = brute.spread_lines(docs)
+    assert {i: r["text"] for i, r in found.items()} == kept
+    for i, text, _ in docs:
+        lines = 0 if text is None else text.count("\n") + 1
+        # A text that loses all its lines is empty, as is one whose only line is empty.
+        left = 0 if text is None or (kept[i] == "" and found[i]["n_removed"] == lines) else kept[i].count("\n") + 1
+        assert (found[i]["n_lines"], found[i]["n_removed"]) == (lines, lines - left)
 
 
 def test_exact_dedup(spark, data, docs):
