@@ -3,15 +3,19 @@
 from __future__ import annotations
 
 import re
+from pathlib import Path
 from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import types as T
 
 from caseloom.domain import CASE_SCHEMA
-from caseloom.sources import cache_table, read_cases, register_table, save_table, write_stage
-from caseloom.sources.sinks import shared_folder
-from registry.fixture import cases
+from caseloom.operators import folds, grid
+from caseloom.plans import models as M
+from caseloom.plans import reports as R
+from caseloom.sources import Stages, cache_table, read_cases, register_table, save_table, write_stage
+from caseloom.sources.sinks import shared_folder, stage_path
+from registry.fixture import cases, cohort
 
 HEADER = ",".join(CASE_SCHEMA.fieldNames())
 LINE = "2020-01,CA,65+ years,Male,White,{},{},Laboratory-confirmed case,Symptomatic,No,No,No,NA"
@@ -122,3 +126,66 @@ def test_shared_folder_comes_from_the_session():
     assert shared_folder(session({}, "yarn", "hdfs://x/z")) == "hdfs://x/z"
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
         shared_folder(session({}, "yarn"))
+
+
+def stages_in(spark):
+    folder = Path(shared_folder(spark).removeprefix("file://")) / "caseloom"
+    return {p.name for p in folder.iterdir()} if folder.is_dir() else set()
+
+
+def test_finished_work_leaves_no_stage(spark, data, tmp_path):
+    people = cohort(spark, data)
+    people.count()
+    before = stages_in(spark)
+    small = grid.Grid(max_iters=(1,), thresholds=(0.5,), min_instances=(1,), max_depths=(2,))
+    with Stages(spark):
+        save_table(M.classifier_summary(people, grid=small), str(tmp_path / "grid"))
+        save_table(M.cluster_runs(people), str(tmp_path / "clusters"))
+        save_table(folds.split_random(R.model_rows(people))[0], str(tmp_path / "split"))
+        save_table(R.cohort_tally(people), str(tmp_path / "tally"))
+        assert len(stages_in(spark) - before) >= 4
+    assert stages_in(spark) == before
+    assert spark.read.parquet(str(tmp_path / "grid")).count() == 3
+
+
+def test_stages_go_after_an_error(spark):
+    kept = write_stage(spark.range(2), "kept")
+    before = stages_in(spark)
+    with pytest.raises(KeyError, match="first"), Stages(spark):
+        write_stage(spark.range(3), "gone")
+        raise KeyError("first")
+    with pytest.raises(Exception, match="(?i)zero"), Stages(spark):
+        write_stage(spark.range(3).selectExpr("1 / (id - id)"), "half")
+    assert stages_in(spark) == before and kept.count() == 2
+
+
+def test_each_owner_removes_its_own(spark):
+    before = stages_in(spark)
+    with Stages(spark) as outer:
+        one = write_stage(spark.range(2), "outer")
+        with Stages(spark) as inner:
+            write_stage(spark.range(2), "inner")
+            assert len(inner.paths) == 1
+        assert one.count() == 2 and len(outer.paths) == 1
+        stage_path(spark, "never-written")
+    assert stages_in(spark) == before
+    write_stage(spark.range(2), "nobody")
+    assert len(stages_in(spark) - before) == 1
+
+
+def test_one_failure_does_not_keep_the_rest(spark, monkeypatch):
+    from caseloom.sources import sinks
+
+    tried = []
+
+    def remove(_, path):
+        tried.append(path)
+        if len(tried) == 1:
+            raise OSError("no")
+
+    monkeypatch.setattr(sinks, "remove_path", remove)
+    stages = Stages(spark)
+    stages.paths = ["a", "b", "c"]
+    with pytest.raises(OSError):
+        stages.close()
+    assert tried == ["c", "b", "a"] and stages.paths == []
