@@ -10,6 +10,10 @@ from pyspark.sql import types as T
 
 from caseloom import domain as D
 from caseloom import functions as X
+from caseloom.operators.order import first_n
+
+#: First rows that one task may merge.
+MERGED_ROWS = 100_000
 
 
 def across_strings(df: DataFrame, fn: Callable[[Column], Column]) -> DataFrame:
@@ -55,10 +59,11 @@ def complete_cases(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.select(*columns).na.drop(subset=list(columns))
 
 
-def limit_by(df: DataFrame, n: int, order: Sequence[str | Column]) -> DataFrame:
+def limit_by(df: DataFrame, n: int, order: Sequence[str | Column], merged: int = MERGED_ROWS) -> DataFrame:
     """The first ``n`` rows in a stated order; the same rows on every run when the
-    order decides between any two different rows."""
-    return df.orderBy(*order).limit(n)
+    order decides between any two different rows. Up to ``merged`` rows each task keeps its
+    first ones and they meet in one place; beyond it they are cut from ranges of the order."""
+    return df.orderBy(*order).limit(n) if n <= merged else first_n(df, n, order)
 
 
 def bind_rows(first: DataFrame, *others: DataFrame) -> DataFrame:
