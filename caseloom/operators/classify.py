@@ -3,6 +3,9 @@ if rows stand for several cases, a ``weight`` column."""
 
 from __future__ import annotations
 
+import re
+from dataclasses import dataclass
+
 from pyspark.ml import Model
 from pyspark.ml.classification import (
     DecisionTreeClassificationModel,
@@ -20,19 +23,19 @@ def _weighted(estimator, weight: str | None):
 
 
 def fit_logistic(
-    df: DataFrame, max_iter: int = 100, threshold: float = 0.5, weight: str | None = None
+    df: DataFrame, max_iter: int = 100, threshold: float = 0.5, weight: str | None = None, tol: float = 1e-6
 ) -> LogisticRegressionModel:
     """Binomial logistic regression; ``threshold`` is on the probability of the positive class."""
     return _weighted(
-        LogisticRegression(family="binomial", maxIter=max_iter, threshold=threshold), weight
+        LogisticRegression(family="binomial", maxIter=max_iter, threshold=threshold, tol=tol), weight
     ).fit(df)
 
 
 def fit_svc(
-    df: DataFrame, max_iter: int = 100, threshold: float = 0.0, weight: str | None = None
+    df: DataFrame, max_iter: int = 100, threshold: float = 0.0, weight: str | None = None, tol: float = 1e-6
 ) -> LinearSVCModel:
     """Linear SVM; ``threshold`` is on the margin, so 0.5 here is not 0.5 above."""
-    return _weighted(LinearSVC(maxIter=max_iter, threshold=threshold), weight).fit(df)
+    return _weighted(LinearSVC(maxIter=max_iter, threshold=threshold, tol=tol), weight).fit(df)
 
 
 def fit_tree(
@@ -63,3 +66,51 @@ def fit_tree(
 
 def predict(model: Model, df: DataFrame) -> DataFrame:
     return model.transform(df)
+
+
+@dataclass(frozen=True)
+class TreeNode:
+    """A node of a tree over 0/1 slots. A leaf has no slot; elsewhere a row goes ``left`` if the
+    slot is 0 and ``right`` if it is 1 (numbers of nodes, the root being 0)."""
+
+    prediction: float = 0.0
+    slot: int | None = None
+    left: int = -1
+    right: int = -1
+
+
+_SPLIT = re.compile(r"\s*(If|Else) \(feature (\d+) (<=|>|in|not in) \{?([0-9.,]+)\}?\)")
+_LEAF = re.compile(r"\s*Predict: (\S+)")
+
+
+def tree_nodes(model: DecisionTreeClassificationModel) -> list[TreeNode]:
+    """The nodes of a fitted tree, read from its description: a few kilobytes, in one call."""
+    lines = iter(line for line in model.toDebugString.split("\n")[1:] if line.strip())
+    nodes: list[TreeNode] = []
+
+    def branch() -> tuple[re.Match, int]:
+        said = _SPLIT.match(next(lines))
+        if said is None:
+            raise ValueError("no split where one is expected")
+        return said, read(next(lines))
+
+    def read(line: str) -> int:
+        at = len(nodes)
+        leaf = _LEAF.match(line)
+        if leaf:
+            nodes.append(TreeNode(prediction=float(leaf.group(1))))
+            return at
+        said = _SPLIT.match(line)
+        if said is None:
+            raise ValueError(f"neither a split nor a leaf: {line}")
+        nodes.append(TreeNode())
+        first = read(next(lines))
+        _, second = branch()
+        # The first branch has the slot at most the bound, or in the set.
+        zero_first = said.group(3) == "<=" or {float(v) for v in said.group(4).split(",")} == {0.0}
+        left, right = (first, second) if zero_first else (second, first)
+        nodes[at] = TreeNode(slot=int(said.group(2)), left=left, right=right)
+        return at
+
+    read(next(lines))
+    return nodes

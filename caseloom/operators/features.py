@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.ml import PipelineModel
@@ -25,11 +27,14 @@ class Encoder:
     levels: dict[str, list[str]]
     stages: PipelineModel
 
-    def transform(self, df: DataFrame) -> DataFrame:
-        """Add ``features`` and, where the label column is present, ``label``."""
-        coded = self.stages.transform(df).drop(
-            *[f"{c}_{s}" for c in self.spec.features for s in ("index", "slots")]
-        )
+    def transform(self, df: DataFrame, levels: str | None = None) -> DataFrame:
+        """Add ``features`` and, where the label column is present, ``label``. With ``levels``, an
+        array of that name has the number of the level of each feature."""
+        coded = self.stages.transform(df)
+        if levels is not None:
+            numbers = [F.col(f"{c}_index").cast("int") for c in self.spec.features]
+            coded = coded.withColumn(levels, F.array(*numbers))
+        coded = coded.drop(*[f"{c}_{s}" for c in self.spec.features for s in ("index", "slots")])
         if self.spec.label not in df.columns:
             return coded
         label = F.when(F.col(self.spec.label) == self.spec.positive, 1.0).when(
@@ -38,6 +43,21 @@ class Encoder:
         return coded.withColumn("label", label)
 
 
+    @property
+    def slots(self) -> list[tuple[int, int]]:
+        """Which feature and which of its levels each place of the vector stands for."""
+        return [(i, k) for i, c in enumerate(self.spec.features) for k in range(len(self.levels[c]) - 1)]
+
+    def by_level(self, coefficients: Sequence[float]) -> list[list[float]]:
+        """Coefficients of the vector as one list per feature; the last level has 0."""
+        parts, at = [], 0
+        for c in self.spec.features:
+            n = len(self.levels[c]) - 1
+            parts.append([*map(float, coefficients[at : at + n]), 0.0])
+            at += n
+        return parts
+
+
 def feature_kinds(df: DataFrame, spec: FeatureSpec) -> DataFrame:
     """Distinct complete rows of label and features with their number in ``rows``."""
     return tally(complete_cases(df, spec.columns), spec.columns)
@@ -54,12 +74,15 @@ def fit_encoder(kinds: DataFrame, spec: FeatureSpec, rows: str = "rows", max_lev
 
     Levels come from the whole table, so every fold has the same vector and meets no
     unknown level. The level names are part of the model and live on the driver; more
-    than ``max_levels`` per feature on average is refused, never cut.
+    than ``max_levels`` of any feature are refused, never cut.
     """
+    counted = level_counts(kinds, spec, rows)
     bound = max_levels * len(spec.features)
-    found = level_counts(kinds, spec, rows).limit(bound + 1).collect()
-    if len(found) > bound:
-        raise ValueError(f"more than {bound} feature levels: these columns are not categories")
+    found = counted.limit(bound + 1).collect()
+    many = Counter(r["feature"] for r in found)
+    wide = [c for c, n in many.items() if n > max_levels]
+    if wide:
+        raise ValueError(f"more than {max_levels} levels of {', '.join(wide)}: these columns are not categories")
     ranked = sorted(found, key=lambda r: (-r[rows], r["level"]))
     levels = {c: [r["level"] for r in ranked if r["feature"] == c] for c in spec.features}
     index = [f"{c}_index" for c in spec.features]

@@ -88,7 +88,7 @@ def test_key_folds_do_not_depend_on_partitioning(spark):
 
 
 def test_fold_pairs(spark):
-    df = folds.random_folds(spark.range(400)).persist()
+    df = folds.random_folds(spark.range(400).withColumn("rows", F.lit(3).cast("bigint"))).persist()
     for i, train, test in folds.fold_pairs(df):
         assert multiset(train) + multiset(test) == multiset(df)
         assert {r["fold"] for r in test.collect()} == {i}
@@ -119,6 +119,13 @@ def test_too_many_levels_are_refused(spark):
     kinds = features.feature_kinds(df, FeatureSpec("death_yn", ("v",)))
     with pytest.raises(ValueError, match="not categories"):
         features.fit_encoder(kinds, FeatureSpec("death_yn", ("v",)), max_levels=49)
+    # The bound is on each feature, not on their mean.
+    two = df.withColumn("w", F.lit("one"))
+    spec = FeatureSpec("death_yn", ("v", "w"))
+    with pytest.raises(ValueError, match="levels of v:"):
+        features.fit_encoder(features.feature_kinds(two, spec), spec, max_levels=49)
+    with pytest.raises(ValueError, match="not categories"):
+        grid.fold_table(df, FeatureSpec("death_yn", ("v",)), max_levels=10)
 
 
 def test_incomplete_rows_are_left_out(spark):
