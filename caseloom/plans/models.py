@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 from caseloom import domain as D
 from caseloom.operators.aggregate import death_cells
 from caseloom.operators.clean import bind_rows
-from caseloom.operators.cluster import assign_clusters, centers, cluster_profile, fit_kmeans
-from caseloom.operators.grid import CONFIG, grid_search, grid_summary
+from caseloom.operators.cluster import assign_clusters, centers, cluster_profile, fit_points, weighted_points
+from caseloom.operators.grid import CONFIG, grid_search, grid_summary, side_by_side
 from caseloom.operators.metrics import best_configs
 from caseloom.sources.sinks import write_stage
 
@@ -38,19 +38,25 @@ class Clustering:
 def cluster_cells(
     cohort: DataFrame, k: int = 7, max_iter: int = 1, seed: int = D.SPLIT_SEED, cells: DataFrame | None = None
 ) -> Clustering:
-    """Deaths per demographic cell, clustered by age index and deaths. Cells are
-    written once; the fit, the assignment and the profile read the same ones."""
+    """Deaths per demographic cell, clustered by age index and deaths. Cells are written once.
+    The fit and the profile read their distinct points with a weight, a handful of rows; only
+    the assignment goes over the cells."""
     cells = write_stage(death_cells(cohort), "cells") if cells is None else cells
-    model = fit_kmeans(cells, D.CLUSTER_FEATURES, k, max_iter, seed)
-    assigned = assign_clusters(model, cells)
-    return Clustering(model, assigned, centers(model, cells), cluster_profile(assigned))
+    points = write_stage(weighted_points(cells), "points")
+    model = fit_points(points, D.CLUSTER_FEATURES, k, max_iter, seed)
+    profile = cluster_profile(assign_clusters(model, points), weight="cells")
+    return Clustering(model, assign_clusters(model, cells), centers(model, cells), profile)
 
 
 def cluster_runs(cohort: DataFrame) -> DataFrame:
-    """Profiles for every (k, iterations) that is compared."""
-    cells = write_stage(death_cells(cohort), "cells")
-    profiles = [
-        cluster_cells(cohort, k, n, cells=cells).profile.withColumns({"k": F.lit(k), "max_iter": F.lit(n)})
-        for k, n in D.KMEANS_RUNS
-    ]
-    return bind_rows(*profiles)
+    """Profiles for every (k, iterations) that is compared. The fits run side by side on the
+    distinct points of the cells, which come straight from the cohort."""
+    points = write_stage(weighted_points(death_cells(cohort)), "points")
+
+    def run(setting: tuple[int, int]) -> DataFrame:
+        k, n = setting
+        model = fit_points(points, D.CLUSTER_FEATURES, k, n)
+        profile = cluster_profile(assign_clusters(model, points), weight="cells")
+        return profile.withColumns({"k": F.lit(k), "max_iter": F.lit(n)})
+
+    return bind_rows(*side_by_side(run, D.KMEANS_RUNS, cohort.sparkSession))
