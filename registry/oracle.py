@@ -1,13 +1,15 @@
 """ANSI SQL (DuckDB dialect) for every query that SQL can express.
 
-Left out: random and hashed parts (``split_random``, ``folds_random``, ``folds_by_key``)
-and fitted models (``fit_*``, ``grid_summary``, ``grid_best``, ``kmeans_profiles``).
+Left out: parts by Spark's hash (``folds_by_key``; its properties are checked), predictions and
+centers of models that a solver stops early (``fit_logistic``, ``fit_svc``, ``fit_tree``,
+``fit_kmeans``, ``kmeans_profiles``) and the grid over them (``grid_summary``, ``grid_best``). What
+must hold of fitted models is checked by the ``fit_*`` and ``kmeans_*`` queries named below.
 """
 
 from __future__ import annotations
 
 from caseloom import domain as D
-from caseloom.plans.reports import REPORT_COLUMNS
+from caseloom.plans.reports import REPORT_COLUMNS, REPORT_KEYS, REPORT_SETS
 from registry.fixture import CASES_SQL, CLEAN_SQL, STATE, TEXT_COLUMNS, WITH_COHORT
 from registry.queries import CENTERS, DIGITS, TOP
 
@@ -176,6 +178,102 @@ select {columns}, case model.death_yn when 'Yes' then 1.0::double else 0.0::doub
 from model {" ".join(joins)}"""
 
 
+def _drawn() -> str:
+    """Random folds from counts: of n equal rows, how many are drawn into each fold. Binomial
+    probabilities are written out in full here and summed until they exceed the kind's number."""
+    parts = ["kinds as (select *, count(*) as n from model group by all)"]
+    left = "n"
+    for i in range(D.FOLDS - 1):
+        p = f"(1.0::double / {D.FOLDS - i})"
+        text = f"concat_ws('|', '{D.SPLIT_SEED}', '{i}', {MODEL_COLUMNS})"
+        u = f"(cast('0x' || substring(md5({text}), 1, 13) as bigint) / 4503599627370496.0::double)"
+        source = "kinds" if i == 0 else f"dealt_{i - 1}"
+        parts.append(
+            f"steps_{i} as (select t.*, {u} as u, k, sum(exp(lgamma({left} + 1) - lgamma(k + 1) - lgamma({left} - k + 1)"
+            f" + k * ln({p}) + ({left} - k) * ln(1 - {p}))) over (partition by {MODEL_COLUMNS} order by k) as below"
+            f" from {source} t, unnest(generate_series(0, {left})) as g(k))"
+        )
+        kept = "".join(f", any_value(fold_{j}) as fold_{j}" for j in range(i))
+        before = f", any_value(left_{i - 1}) as was" if i else ", any_value(n) as was"
+        parts.append(
+            f"dealt_{i} as (select *, was - fold_{i} as left_{i} from (select {MODEL_COLUMNS}{kept}{before},"
+            f" coalesce(min(k) filter (where u < below), max(k)) as fold_{i} from steps_{i} group by {MODEL_COLUMNS}))"
+        )
+        left = f"left_{i}"
+    last = D.FOLDS - 1
+    sums = " union all ".join(f"select {j} as fold, sum(fold_{j}) as n from dealt_{last - 1}" for j in range(last))
+    sums += f" union all select {last}, sum(left_{last - 1}) from dealt_{last - 1}"
+    return f"{MODEL}, {', '.join(parts)}, drawn as (select cast(fold as int) as fold, cast(n as bigint) as n from ({sums}))"
+
+
+OUTCOME_OR_NULL = """case when sex in ('Male','Female') and hosp_yn in ('Yes','No') and death_yn in ('Yes','No')
+  and symptom_status in ('Symptomatic','Asymptomatic') then case
+  when hosp_yn = 'Yes' and death_yn = 'No' then 'Hospitalized'
+  when death_yn = 'Yes' then 'Death'
+  when symptom_status = 'Asymptomatic' then 'Asymptomatic'
+  when icu_yn = 'No' then 'Symptomatic, not severe' end end"""
+
+
+def _report_counts() -> str:
+    selects = []
+    for report, keys in REPORT_SETS.items():
+        columns = ", ".join(c if c in keys else f"null::varchar as {c}" for c in REPORT_KEYS)
+        selects.append(
+            f"select '{report}' as report, {columns}, count(*) as rows, cast(sum(icu) as bigint) as icu_rows"
+            f" from keyed group by {', '.join(keys)}"
+        )
+    return (
+        f"{WITH_COHORT}, keyed as (select *, {OUTCOME_OR_NULL} as outcome,"
+        f" case icu_yn when 'Yes' then 1 when 'No' then 0 end as icu from cohort) " + " union all ".join(selects)
+    )
+
+
+def _gains() -> str:
+    """Every level of every feature against the others, with Gini gain; the rarest level of a
+    feature (the last in text order among equals) has no slot of its own."""
+    levels = " union all ".join(
+        f"select '{c}' as feature, {c} as level, count(*) as in_rows, count(*) filter (where death_yn = 'Yes') as in_positive"
+        f" from model group by {c}"
+        for c in D.DEATH_MODEL.features
+    )
+    gini = "(2.0::double * ({d}) * (({n}) - ({d})) / ({n}))"
+    gain = (
+        f"({gini.format(n='n', d='d')} - case when in_rows = 0 then 0 else {gini.format(n='in_rows', d='in_positive')} end"
+        f" - case when out_rows = 0 then 0 else {gini.format(n='out_rows', d='out_positive')} end) / n"
+    )
+    return f"""{MODEL},
+levels as ({levels}),
+whole as (select count(*) as n, count(*) filter (where death_yn = 'Yes') as d from model),
+sides as (select *, n - in_rows as out_rows, d - in_positive as out_positive,
+ row_number() over (partition by feature order by in_rows, level desc) = 1 as last from levels, whole),
+gains as (select *, {gain} as gain from sides)"""
+
+
+def _first_split(least: int) -> str:
+    return (
+        f"(select cast({least} as int) as min_instances, feature, level, in_rows as in_cases, in_positive as in_deaths,"
+        f" out_rows as out_cases, out_positive as out_deaths from gains"
+        f" where not last and in_rows >= {least} and out_rows >= {least} order by gain desc limit 1)"
+    )
+
+
+def _position(report: str, level: str, order: str, by: str) -> str:
+    return (
+        f"select '{report}' as report, {level} as level, count(*) as case_count,"
+        f" row_number() over (order by {order}) as position from cohort group by {by}"
+    )
+
+
+REPORT_ORDER = f"{WITH_COHORT} " + " union all ".join(
+    (
+        _position("months", "case_month", "case_month", "case_month"),
+        _position("ages_down", "age_group", "age_group desc", "age_group"),
+        _position("ages_by_cases", "age_group", "count(*) desc, age_group", "age_group"),
+        _position("ages_up", "age_group", f"{AGE_1} nulls last, age_group", "age_group"),
+    )
+)
+
+
 def _describe(column: str) -> str:
     return (
         f"select '{column}' as \"column\", count({column}) as \"count\", {_round(f'avg({column})', 'mean')}, "
@@ -214,6 +312,26 @@ def _grid_rows() -> str:
     return ", ".join(rows)
 
 
+CONTINGENCY = f"""{WITH_COHORT},
+whole as (select age_group, death_yn, hosp_yn from cohort where death_yn is not null and hosp_yn is not null),
+counted as (select age_group, death_yn, hosp_yn, count(*) as n from whole group by all),
+summed as (select age_group, death_yn, count(*) as total from whole group by all)
+select c.age_group, c.death_yn, c.hosp_yn, c.n as rows,
+ {_round("cast(c.n as double) / (select count(*) from whole)", "share_total")},
+ {_round("cast(c.n as double) / s.total", "share_fill")}
+from counted c join summed s on c.age_group = s.age_group and c.death_yn = s.death_yn"""
+
+ICU_BY_AGE = f"""{WITH_COHORT} select age_group, count(*) as case_count,
+ cast(sum(case icu_yn when 'Yes' then 1 when 'No' then 0 end) as bigint) as icu_count
+from cohort group by age_group order by case_count desc"""
+
+MONTHLY_STATE = f"""{WITH_COHORT} select case_month, case_month || '-01' as month_start, count(*) as case_count
+from cohort where res_state = '{STATE}' group by case_month order by case_month"""
+
+TOPN = f"{WITH_COHORT} select case_id, case_month, res_state from cohort order by case_month, case_id limit {TOP}"
+
+FOLD_PROPERTIES = "select true as same_elsewhere, true as within_five_deviations, true as together_all_rows"
+
 ORACLES: dict[str, str] = {
     "case_table": f"with {CASES_SQL} select * from cases",
     "src_csv_roundtrip": f"with {CASES_SQL} select {RAW_COLUMNS} from cases",
@@ -233,16 +351,13 @@ select score, case when score > 0.5 then 1 when score <= 0.5 then 0 end as predi
 from scored group by 1, 2""",
     "cases_by_age": f"{WITH_COHORT} select age_group, count(*) as case_count, {AGE_1} as age_rank from cohort group by age_group order by age_group desc",
     "cases_by_age_in_order": f"{WITH_COHORT} select age_group, count(*) as case_count, {AGE_1} as age_rank from cohort group by age_group order by age_rank",
-    "icu_by_age": f"""{WITH_COHORT} select age_group, count(*) as case_count,
- cast(sum(case icu_yn when 'Yes' then 1 when 'No' then 0 end) as bigint) as icu_count
-from cohort group by age_group order by case_count desc""",
+    "icu_by_age": ICU_BY_AGE,
     "cases_by_race": _count("race"),
     "cases_by_sex": _count("sex"),
     "cases_by_age_sex": _count("age_group, sex"),
     "race_share": _share("race"),
     "sex_share": _share("sex"),
-    "monthly_state": f"""{WITH_COHORT} select case_month, case_month || '-01' as month_start, count(*) as case_count
-from cohort where res_state = '{STATE}' group by case_month order by case_month""",
+    "monthly_state": MONTHLY_STATE,
     "month_spine": f"""{WITH_COHORT},
 span as (select min(cast(case_month || '-01' as date)) as first, max(cast(case_month || '-01' as date)) as last
 from cohort where res_state = '{STATE}')
@@ -251,15 +366,17 @@ from span, unnest(generate_series(first, last, interval 6 month)) as s(m)""",
     "date_range": f"""{WITH_COHORT} select min(case_month) || '-01' as first, max(case_month) || '-01' as last from cohort""",
     "outcome_share": OUTCOME_SHARE,
     "outcome_share_tally": OUTCOME_SHARE,
-    "contingency": f"""{WITH_COHORT},
-whole as (select age_group, death_yn, hosp_yn from cohort where death_yn is not null and hosp_yn is not null),
-counted as (select age_group, death_yn, hosp_yn, count(*) as n from whole group by all),
-summed as (select age_group, death_yn, count(*) as total from whole group by all)
-select c.age_group, c.death_yn, c.hosp_yn, c.n as rows,
- {_round("cast(c.n as double) / (select count(*) from whole)", "share_total")},
- {_round("cast(c.n as double) / s.total", "share_fill")}
-from counted c join summed s on c.age_group = s.age_group and c.death_yn = s.death_yn""",
-    "topn_ordered": f"{WITH_COHORT} select case_id, case_month, res_state from cohort order by case_month, case_id limit {TOP}",
+    "contingency": CONTINGENCY,
+    "topn_ordered": TOPN,
+    "topn_distributed": TOPN,
+    "order_positions": f"{WITH_COHORT} select case_id, case_month, row_number() over (order by case_month desc, case_id) as position from cohort",
+    "report_order": REPORT_ORDER,
+    "report_counts": _report_counts(),
+    "set_outcome_share": OUTCOME_SHARE,
+    "set_icu_by_age": ICU_BY_AGE,
+    "set_contingency": CONTINGENCY,
+    "set_race_share": _share("race"),
+    "set_monthly_state": MONTHLY_STATE,
     "profile": f"{WITH_COHORT} "
     + " union all ".join(
         f"select '{c}' as dimension, {c} as level, count(*) as rows from cohort group by {c}" for c in REPORT_COLUMNS
@@ -271,6 +388,10 @@ valid as (select * from cohort where case_positive_specimen_interval >= 0 and ca
     "correlation_rows": CORRELATION,
     "death_cells": f"{CELLS} select * from cells",
     "death_cells_tally": f"{CELLS} select * from cells",
+    "split_random": f"{_drawn()} select n as rows, fold as part from drawn",
+    "folds_random": f"{_drawn()} select fold, cast((select sum(n) from drawn) - n as bigint) as train_rows, n as test_rows from drawn",
+    "folds_random_properties": FOLD_PROPERTIES,
+    "folds_by_key_properties": FOLD_PROPERTIES,
     "split_random_union": f"{MODEL} select * from model",
     "folds_stratified": f"{FOLDS} select {MODEL_COLUMNS}, fold, count(*) as rows from folded group by {MODEL_COLUMNS}, fold",
     "fold_sizes": f"""{FOLDS} select fold, (select count(*) from folded) - count(*) as train_rows, count(*) as test_rows
@@ -313,6 +434,14 @@ select 'price' as x, 'price' as y, 1.0::double as r union all select 'balance',
 config(family, max_iter, threshold, min_instances, max_depth) as (values {_grid_rows()}),
 sizes as (select fold, count(*) as cases, count(*) filter (where death_yn = 'Yes') as deaths from folded group by fold)
 select config.*, fold, cases, deaths from config cross join sizes""",
+    "fit_logistic_balance": f"{_gains()} select feature, level, in_rows as cases, in_positive as deaths, true as balanced from gains",
+    "fit_tree_split": f"{_gains()} {_first_split(1)} union all {_first_split(1000)}",
+    "fit_tree_gains": f"{_gains()} select feature, level, in_rows, in_positive, out_rows, out_positive, {_round('gain', 'gain')} from gains where out_rows > 0",
+    "fit_svc_optimal": "select true as no_closer_plane_is_better",
+    "fit_svc_determined": f"{WITH_COHORT} select hosp_yn as stay, count(*) as cases, 0::bigint as errors from cohort "
+    "where hosp_yn is not null and sex is not null group by hosp_yn",
+    "kmeans_fixed_point": f"{CELLS} select 7::bigint as clusters, true as fixed, count(*) as cells from cells",
+    "kmeans_distinct": f"{CELLS} select distinct age_group_index, death_count::double as death_count from cells",
     "assign_nearest": f"{NEAREST} select * from assigned",
     "cluster_profile": f"""{NEAREST} select cluster, {_round("avg(death_count)", "avg_death_count")},
  {_round("avg(age_group_index)", "avg_age_group_index")}, count(*) as cell_count from assigned group by cluster""",

@@ -7,15 +7,17 @@ different orders.
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from caseloom import domain as D
 from caseloom import functions as X
+from caseloom.domain import FeatureSpec
 from caseloom.operators import aggregate as A
-from caseloom.operators import classify, clean, cluster, correlate, features, folds, grid, metrics
+from caseloom.operators import audit, classify, clean, cluster, correlate, features, folds, grid, metrics, order
 from caseloom.plans import models as M
 from caseloom.plans import reports as R
 from caseloom.sources import read_cases, register_table, save_table
@@ -172,6 +174,62 @@ def topn_ordered(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def topn_distributed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same rows as ``topn_ordered`` without a place where they are merged."""
+    rows = cohort(spark, sf_dir).select("case_id", "case_month", "res_state")
+    return order.first_n(rows, TOP, ["case_month", "case_id"], rows_per_range=2000)
+
+
+def order_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The place of every case of the cohort, the latest month first."""
+    rows = cohort(spark, sf_dir).select("case_id", "case_month")
+    return order.with_position(rows, [F.desc("case_month"), "case_id"], rows_per_range=2000)
+
+
+def report_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of the sorted reports with their place in it: months upwards, age groups downwards,
+    age groups by cases, age groups from young to old."""
+    people = cohort(spark, sf_dir)
+    ages = R.cases_by_age(people)
+    orders = {
+        "months": (A.count_by_month(people), "case_month", ["case_month"]),
+        "ages_down": (ages, "age_group", [F.desc("age_group")]),
+        "ages_by_cases": (R.icu_by_age(people), "age_group", [F.desc("case_count"), "age_group"]),
+        "ages_up": (ages, "age_group", [F.asc_nulls_last("age_rank"), "age_group"]),
+    }
+    return clean.bind_rows(
+        *[
+            order.with_position(rows, by).select(F.lit(name).alias("report"), F.col(key).alias("level"), "case_count", "position")
+            for name, (rows, key, by) in orders.items()
+        ]
+    )
+
+
+def report_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.ReportSet.of(cohort(spark, sf_dir)).counts
+
+
+def set_outcome_share(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(R.ReportSet.of(cohort(spark, sf_dir)).outcome_share())
+
+
+def set_icu_by_age(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.ReportSet.of(cohort(spark, sf_dir)).icu_by_age()
+
+
+def set_contingency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(R.ReportSet.of(cohort(spark, sf_dir)).contingency())
+
+
+def set_race_share(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(R.ReportSet.of(cohort(spark, sf_dir)).share_of_cases("race"))
+
+
+def set_monthly_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = R.ReportSet.of(cohort(spark, sf_dir)).monthly_state(STATE)
+    return found.withColumn("month_start", F.col("month_start").cast("string"))
+
+
 def profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.profile(cohort(spark, sf_dir), R.REPORT_COLUMNS)
 
@@ -228,13 +286,48 @@ def _kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def folds_random(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return folds.fold_sizes(write_stage(folds.random_folds(R.model_rows(cohort(spark, sf_dir))), "folds"), k=D.FOLDS)
+    return folds.fold_sizes(folds.random_folds(_kinds(spark, sf_dir)), "rows", D.FOLDS)
+
+
+def _fold_rows(dealt: DataFrame, rows: Column) -> DataFrame:
+    return dealt.groupBy("fold").agg(rows.alias("rows"))
+
+
+def _fold_properties(first: DataFrame, again: DataFrame, total: DataFrame) -> DataFrame:
+    """Whether rows that lie elsewhere get the same folds, sizes are within five deviations of an
+    even draw, and the folds together are all rows."""
+    n = total.select(F.count(F.lit(1))).scalar()
+    both = first.join(again.withColumnRenamed("rows", "rows_again"), "fold", "full")
+    even = n / D.FOLDS
+    spread = F.sqrt(even * (1 - 1 / D.FOLDS))
+    return both.agg(
+        F.bool_and(F.col("rows").eqNullSafe(F.col("rows_again"))).alias("same_elsewhere"),
+        F.bool_and(F.abs(F.col("rows") - even) <= 5 * spread).alias("within_five_deviations"),
+        (F.sum("rows") == n).alias("together_all_rows"),
+    )
+
+
+def folds_random_properties(spark: SparkSession, sf_dir: str) -> DataFrame:
+    people = cohort(spark, sf_dir)
+    first, again = (
+        _fold_rows(folds.random_folds(features.feature_kinds(rows, D.DEATH_MODEL)), F.sum("rows"))
+        for rows in (people, people.repartition(7))
+    )
+    return _fold_properties(first, again, R.model_rows(people))
 
 
 def folds_by_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     return folds.fold_sizes(folds.key_folds(cohort(spark, sf_dir), ["case_id"]), k=D.FOLDS)
 
 
+def folds_by_key_properties(spark: SparkSession, sf_dir: str) -> DataFrame:
+    people = cohort(spark, sf_dir)
+    first, again = (
+        _fold_rows(folds.key_folds(rows, ["case_id"]), F.count(F.lit(1))) for rows in (people, people.repartition(7))
+    )
+    return _fold_properties(first, again, people)
+
+
 def folds_stratified(spark: SparkSession, sf_dir: str) -> DataFrame:
     return folds.stratified_folds(_kinds(spark, sf_dir))
 
@@ -314,12 +407,25 @@ def encode_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select(*MODEL_COLUMNS, "label", F.concat_ws("", digits).alias("slots"))
 
 
-def _training(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int]:
+@dataclass(frozen=True)
+class Training:
     """All complete cases, encoded, as distinct rows with their number in ``cases``."""
-    kinds = write_stage(_kinds(spark, sf_dir), "kinds")
-    encoder = features.fit_encoder(kinds, D.DEATH_MODEL)
-    coded = encoder.transform(kinds).withColumnRenamed("rows", "cases")
-    return coded, kinds.agg(F.sum("rows")).first()[0]
+
+    kinds: DataFrame
+    coded: DataFrame
+    total: int
+    encoder: features.Encoder
+
+    @property
+    def linear(self) -> DataFrame:
+        return grid.linear_rows(self.coded, self.total)
+
+
+def _training(people: DataFrame, spec: FeatureSpec = D.DEATH_MODEL) -> Training:
+    kinds = write_stage(features.feature_kinds(people, spec), "kinds")
+    encoder = features.fit_encoder(kinds, spec)
+    coded = encoder.transform(kinds, "levels").withColumnRenamed("rows", "cases")
+    return Training(kinds, coded, kinds.agg(F.sum("rows")).first()[0], encoder)
 
 
 def _predictions(model, coded: DataFrame) -> DataFrame:
@@ -327,20 +433,70 @@ def _predictions(model, coded: DataFrame) -> DataFrame:
 
 
 def fit_logistic(spark: SparkSession, sf_dir: str) -> DataFrame:
-    coded, total = _training(spark, sf_dir)
-    model = classify.fit_logistic(grid.linear_rows(coded, total), 10, 0.5, "cases")
-    return _predictions(model, coded)
+    t = _training(cohort(spark, sf_dir))
+    return _predictions(classify.fit_logistic(t.linear, 10, 0.5, "cases"), t.coded)
 
 
 def fit_svc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    coded, total = _training(spark, sf_dir)
-    model = classify.fit_svc(grid.linear_rows(coded, total), 10, 0.5, "cases")
-    return _predictions(model, coded)
+    t = _training(cohort(spark, sf_dir))
+    return _predictions(classify.fit_svc(t.linear, 10, 0.5, "cases"), t.coded)
 
 
 def fit_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    coded, total = _training(spark, sf_dir)
-    return _predictions(classify.fit_tree(coded, 5, 1, "cases", total), coded)
+    t = _training(cohort(spark, sf_dir))
+    return _predictions(classify.fit_tree(t.coded, 5, 1, "cases", t.total), t.coded)
+
+
+def fit_logistic_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cases and deaths per feature level, and whether the model at its optimum expects as many
+    deaths, to a thousandth of the cases of the level."""
+    t = _training(cohort(spark, sf_dir))
+    model = classify.fit_logistic(t.linear, 300, 0.5, "cases", tol=1e-12)
+    found = audit.score_equations(t.coded, t.encoder, model)
+    balanced = F.abs(F.col("expected") - F.col("observed")) <= 1e-3 * F.col("cases")
+    return found.select("feature", "level", "cases", F.col("observed").alias("deaths"), balanced.alias("balanced"))
+
+
+def fit_tree_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a tree of depth one tells apart, with at least 1 and 1000 cases on a side: the level,
+    cases and deaths on both sides as the fitted tree sends them."""
+    t = _training(cohort(spark, sf_dir))
+    found = []
+    for least in (1, 1000):
+        model = classify.fit_tree(t.coded, 1, least, "cases", t.total)
+        feature, level = audit.first_split(model, t.encoder)
+        inside = F.col(feature) == level
+        cases, deaths = F.col("cases"), F.col("cases") * F.col("label").cast("bigint")
+        sides = {"in": inside, "out": ~inside}
+        sums = [F.sum(F.when(c, x)).alias(f"{side}_{n}") for side, c in sides.items() for n, x in (("cases", cases), ("deaths", deaths))]
+        names = {"min_instances": F.lit(least), "feature": F.lit(feature), "level": F.lit(level)}
+        found.append(t.coded.agg(*sums).withColumns(names))
+    return clean.bind_rows(*found)
+
+
+def fit_tree_gains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Gini gain of telling each level of each feature from the others."""
+    kinds = features.feature_kinds(cohort(spark, sf_dir), D.DEATH_MODEL)
+    return rounded(audit.split_gains(kinds, D.DEATH_MODEL))
+
+
+def fit_svc_optimal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether no plane close to the fitted one has a smaller hinge loss."""
+    t = _training(cohort(spark, sf_dir))
+    model = classify.fit_svc(t.linear, 300, 0.0, "cases", tol=1e-10)
+    planes = audit.close_planes(model.coefficients.toArray(), model.intercept, 0.05)
+    fitted, *others = audit.hinge_objectives(t.coded, t.encoder, planes)
+    return spark.range(1).select(F.lit(all(o >= fitted - 1e-4 for o in others)).alias("no_closer_plane_is_better"))
+
+
+def fit_svc_determined(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A label that one feature determines, predicted: cases and errors per label."""
+    people = cohort(spark, sf_dir).withColumn("stay", F.col("hosp_yn"))
+    spec = FeatureSpec("stay", ("age_group", "sex", "hosp_yn"))
+    t = _training(people, spec)
+    scored = classify.predict(classify.fit_svc(t.linear, 50, 0.0, "cases"), t.coded)
+    wrong = F.sum(F.when(F.col("prediction") != F.col("label"), F.col("cases")).otherwise(0))
+    return scored.groupBy("stay").agg(F.sum("cases").alias("cases"), wrong.alias("errors"))
 
 
 def grid_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -369,6 +525,30 @@ def kmeans_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.cluster_runs(cohort(spark, sf_dir))
 
 
+def kmeans_fixed_point(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether centers at convergence are the means of the points nearest to them, and these are
+    all cells."""
+    points = write_stage(cluster.weighted_points(A.death_cells(cohort(spark, sf_dir))), "points")
+    model = cluster.fit_points(points, k=7, max_iter=200, tol=1e-12)
+    found = cluster.centers(model, points)
+    at = [tuple(r)[1:] for r in found.orderBy("cluster").collect()]  # seven centers
+    means = audit.means_of_nearest(points, at, D.CLUSTER_FEATURES, "cells")
+    off = [F.abs(F.col(c) - F.col(f"mean_{c}")) <= 1e-9 for c in D.CLUSTER_FEATURES]
+    both = found.join(means.withColumnsRenamed({c: f"mean_{c}" for c in D.CLUSTER_FEATURES}), "cluster", "full")
+    return both.agg(
+        F.count(F.lit(1)).alias("clusters"),
+        F.bool_and(F.coalesce(off[0] & off[1], F.lit(False))).alias("fixed"),
+        F.sum("points").cast("bigint").alias("cells"),
+    )
+
+
+def kmeans_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The centers of as many clusters as there are distinct points."""
+    points = write_stage(cluster.weighted_points(A.death_cells(cohort(spark, sf_dir))), "points")
+    model = cluster.fit_points(points, k=points.count())
+    return rounded(cluster.centers(model, points).select(*D.CLUSTER_FEATURES))
+
+
 def assign_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cluster.assign_nearest(A.death_cells(cohort(spark, sf_dir)), CENTERS)
 
@@ -406,6 +586,15 @@ QUERIES: dict[str, Query] = {
         outcome_share_tally,
         contingency,
         topn_ordered,
+        topn_distributed,
+        order_positions,
+        report_order,
+        report_counts,
+        set_outcome_share,
+        set_icu_by_age,
+        set_contingency,
+        set_race_share,
+        set_monthly_state,
         profile,
         describe_intervals,
         correlation,
@@ -416,7 +605,9 @@ QUERIES: dict[str, Query] = {
         split_random,
         split_random_union,
         folds_random,
+        folds_random_properties,
         folds_by_key,
+        folds_by_key_properties,
         folds_stratified,
         fold_sizes,
         fold_sizes_pairs,
@@ -432,11 +623,18 @@ QUERIES: dict[str, Query] = {
         fit_logistic,
         fit_svc,
         fit_tree,
+        fit_logistic_balance,
+        fit_tree_split,
+        fit_tree_gains,
+        fit_svc_optimal,
+        fit_svc_determined,
         grid_summary,
         grid_best,
         grid_support,
         fit_kmeans,
         kmeans_profiles,
+        kmeans_fixed_point,
+        kmeans_distinct,
         assign_nearest,
         cluster_profile,
     )

@@ -40,6 +40,7 @@ SPARK_TYPES = {
     "string": "VARCHAR",
     "double": "DOUBLE",
     "date": "DATE",
+    "boolean": "BOOLEAN",
 }
 
 

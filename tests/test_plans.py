@@ -6,6 +6,7 @@ import re
 
 import pytest
 
+from caseloom import functions as X
 from caseloom.operators import aggregate as A
 from caseloom.operators.correlate import correlation_codes, correlation_matrix
 from caseloom.operators.folds import split_random
@@ -66,9 +67,53 @@ def test_top_n_sorts_within_partitions_first(spark, data):
     assert "TakeOrderedAndProject" in plan(QUERIES["topn_ordered"](spark, data))
 
 
-def test_one_part_of_a_split_reads_its_own_files(spark, data):
-    parts = split_random(R.model_rows(cohort(spark, data)))
-    assert re.search(r"PartitionFilters: \[.*part#\d+ = 2\)", plan(parts[2]))
+def test_a_split_shuffles_counts(spark, data):
+    part = split_random(R.model_rows(cohort(spark, data)))[2]
+    text = plan(part)
+    assert text.count("FileScan") == 1 and "partial_count" in text
+    # Counts by kind, then kinds spread over tasks before they become rows.
+    assert shuffles(part) == 1 and "RoundRobinPartitioning" in text
+
+
+def test_all_reports_from_one_scan(spark, data):
+    spark.catalog.clearCache()  # registered queries keep these counts
+    people = cohort(spark, data)
+    counts = R.report_counts(people)
+    text = plan(counts)
+    assert text.count("FileScan") == 1 and shuffles(counts) == 1
+    keys = re.search(r"Exchange hashpartitioning\((.*?)\), ENSURE", text).group(1)
+    names = {re.sub(r"#\d+L?", "", k.strip()) for k in re.split(r", (?=[a-z_]+#)", keys)} - {"spark_grouping_id"}
+    assert {n for n in names if re.fullmatch("[a-z_]+", n)} <= set(R.REPORT_KEYS)
+    assert re.search(r"Expand \[", text)
+
+
+def test_reports_from_the_set_equal_reports_from_rows(spark, data):
+    people = cohort(spark, data)
+
+    def same(a, b):
+        assert a.columns == b.columns and [tuple(r) for r in a.collect()] == [tuple(r) for r in b.collect()]
+
+    def same_rows(a, b):
+        assert sorted(a.columns) == sorted(b.columns)
+        assert sorted(map(str, a.select(*b.columns).collect())) == sorted(map(str, b.collect()))
+
+    for weight, rows in ((None, people), ("rows", R.cohort_tally(people))):
+        with R.ReportSet.of(rows, weight) as found:
+            assert found.counts.storageLevel.useMemory
+            same(found.cases_by_age(), R.cases_by_age(people))
+            same(found.cases_by_age_in_order(), R.cases_by_age_in_order(people))
+            same(found.icu_by_age(), R.icu_by_age(people))
+            same(found.monthly_state("NATION_3"), R.monthly_state(people, "NATION_3"))
+            same_rows(found.cases_by_age_sex(), R.cases_by_age_sex(people))
+            same_rows(found.share_of_cases("race"), R.share_of_cases(people, "race"))
+            same_rows(found.share_of_cases("sex"), R.share_of_cases(people, "sex"))
+            same_rows(found.outcome_share(), R.outcome_share(people))
+            same_rows(found.contingency(), R.outcome_contingency(people))
+            same_rows(found.state_spine("NATION_3"), R.state_spine(people, "NATION_3"))
+            same(found.date_range(), A.date_range(people, X.month_start("case_month")))
+        assert not found.counts.storageLevel.useMemory
+    with R.ReportSet.of(people.limit(0)) as nothing:
+        assert nothing.counts.collect() == [] and nothing.outcome_share().collect() == []
 
 
 def test_reports_from_a_tally_equal_reports_from_rows(spark, data):
