@@ -15,6 +15,13 @@ from caseloom.sources.sinks import CHECKPOINT_CONF
 # Python functions travel with their job, so executors need no copy of the package.
 cloudpickle.register_pickle_by_value(sys.modules["caseloom.llm"])
 
+#: Rows of a small side that are sent to all tasks (of some hundred bytes each), at most.
+BROADCAST_ROWS = 100_000
+#: Rows that share a key from which on they no longer meet it in one place.
+HOT_ROWS = 1000
+#: Places per key beyond these bounds.
+SALTS = 32
+
 SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -67,3 +74,39 @@ def held_out(doc_id: str | Column = "doc_id") -> Column:
     A NULL id is never held out."""
     col = F.col(doc_id) if isinstance(doc_id, str) else doc_id
     return F.coalesce(F.crc32(col.cast("string").cast("binary")) % 4 == 2, F.lit(False))
+
+
+def attach(rows: DataFrame, plan: DataFrame, key: str, plan_key: str, limit: int = BROADCAST_ROWS, how: str = "inner") -> DataFrame:
+    """The rows with the columns of the one row of ``plan`` (a written table) that has their key;
+    NULL is a key. A plan of at most ``limit`` rows is sent to all tasks, so that rows of a hot key
+    stay where they are; of a longer one each row stands in ``SALTS`` places."""
+    same = rows[key].eqNullSafe(plan[plan_key])
+    if plan.count() <= limit:
+        return rows.join(F.broadcast(plan), same, how)
+    mine, its = fresh(rows, "salt", "plan_salt")
+    salted = rows.withColumn(mine, F.floor(F.rand(1) * SALTS).cast("int"))
+    spread = plan.withColumn(its, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    on = salted[key].eqNullSafe(spread[plan_key]) & (salted[mine] == spread[its])
+    return salted.join(spread, on, how).drop(mine, its)
+
+
+def join_heads(rows: DataFrame, heads: DataFrame, keys: list[str], members: str, hot: int = HOT_ROWS, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """``rows`` left-joined with the one row of ``heads`` that has their ``keys`` (never NULL); both
+    are written tables, and ``members`` says how many rows a head has. Rows of heads with more
+    than ``hot`` members do not meet in one place. Such heads are few: up to ``limit`` of them are
+    sent to all tasks, and beyond it each stands in ``SALTS`` places."""
+    crowded = heads.filter(F.col(members) > hot)
+    n = crowded.count()
+    if n == 0:
+        return rows.join(heads.drop(members), keys, "left")
+    if n <= limit:
+        [flag] = fresh(rows, "crowded")
+        names = F.broadcast(crowded.select(*keys, F.lit(True).alias(flag)))
+        marked = rows.join(names, keys, "left")
+        found = marked.filter(F.col(flag)).drop(flag).join(F.broadcast(crowded.drop(members)), keys, "left")
+        rest = marked.filter(F.col(flag).isNull()).drop(flag)
+        return found.unionByName(rest.join(heads.filter(F.col(members) <= hot).drop(members), keys, "left"))
+    [salt] = fresh(rows, "salt")
+    salted = rows.withColumn(salt, F.floor(F.rand(1) * SALTS).cast("int"))
+    spread = heads.drop(members).withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return salted.join(spread, [*keys, salt], "left").drop(salt)

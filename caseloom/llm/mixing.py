@@ -4,11 +4,14 @@ Every document gets a hash-random key. Within a source the documents stand in th
 their keys; the mix takes whole epochs of it and then the head of one more, cut at the word
 at which the budget is spent. The cut is found by prefix sums: words per range of keys, a
 running sum over the ranges, and an order of single documents only in the range that holds
-the cut. No source is sorted in one place, and texts are not moved to find it.
+the cut. No source is sorted in one place, and texts are not moved to find it. The plan has a
+row per source; up to ``common.BROADCAST_ROWS`` sources it is sent to the rows, beyond it rows of a
+source meet it in many places.
 
 Words decide sizes; a NULL or empty text has none and is never taken. NULL is a source of
 its own. Repeated rows share a key and stand side by side; where the cut falls among
-identical rows, each order gives the same words. Reruns give the same mix.
+identical rows, each order gives the same words. Reruns give the same mix. An empty table gives an
+empty result. Long texts are read whole; other columns keep their names, whatever these are.
 """
 
 from __future__ import annotations
@@ -18,7 +21,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from caseloom.llm.common import fresh, whole, word_count
+from caseloom.llm.common import attach, fresh, whole, word_count
 from caseloom.sources.sinks import write_stage
 
 WEIGHTS = (5, 2, 1)
@@ -76,7 +79,7 @@ def _range(key: Column, ranges: Column) -> Column:
 
 
 def cuts(sizes: DataFrame, plan: DataFrame, rows_per_range: int = ROWS_PER_RANGE) -> DataFrame:
-    """Per source: ``epochs`` taken whole, and where the last one is cut: all of the rows
+    """Per source, as a written table: ``epochs`` taken whole, and where the last one is cut: all of the rows
     before ``cut_key``, and of those with it up to ``cut_words`` words in order of id."""
     goal = F.floor("target")
     plan = plan.withColumns(
@@ -85,23 +88,24 @@ def cuts(sizes: DataFrame, plan: DataFrame, rows_per_range: int = ROWS_PER_RANGE
             "ranges": F.least(F.ceil(F.col("n") / rows_per_range), F.lit(1 << 30)),
         }
     ).withColumn("remainder", goal - F.col("epochs") * F.col("source_size"))
-    plan = plan.withColumnRenamed("source", "plan_source")
-    placed = sizes.join(plan, sizes["source"].eqNullSafe(plan["plan_source"])).withColumn("range", _range(F.col("key"), F.col("ranges")))
+    plan = write_stage(plan.withColumnRenamed("source", "plan_source"), "source-plan")
+    placed = attach(sizes, plan, "source", "plan_source").withColumn("range", _range(F.col("key"), F.col("ranges")))
     sums = placed.groupBy("plan_source", "range", "remainder").agg(F.sum("size").alias("words"))
     before = Window.partitionBy("plan_source").orderBy("range").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     ran = sums.withColumn("upto", F.sum("words").over(before))
     holds = ran.filter((F.col("upto") >= F.col("remainder")) & (F.col("upto") - F.col("words") < F.col("remainder")))
     holds = holds.select(F.col("plan_source").alias("cut_source"), F.col("range").alias("cut_range"), (F.col("upto") - F.col("words")).alias("base"))
-    on = placed["source"].eqNullSafe(holds["cut_source"]) & (placed["range"] == holds["cut_range"])
-    inside = placed.join(holds, on)
+    holds = write_stage(holds, "cut-ranges")
+    inside = attach(placed, holds, "source", "cut_source").filter(F.col("range") == F.col("cut_range"))
     order = Window.partitionBy("cut_source").orderBy("key").rangeBetween(Window.unboundedPreceding, Window.currentRow)
     inside = inside.groupBy("cut_source", "base", "remainder", "key").agg(F.sum("size").alias("size"))
     inside = inside.withColumn("upto", F.col("base") + F.sum("size").over(order))
     at = inside.filter((F.col("upto") >= F.col("remainder")) & (F.col("upto") - F.col("size") < F.col("remainder")))
     at = at.select("cut_source", F.col("key").alias("cut_key"), (F.col("remainder") - F.col("upto") + F.col("size")).alias("cut_words"))
-    return plan.join(at, plan["plan_source"].eqNullSafe(at["cut_source"]), "left").select(
+    found = plan.join(at, plan["plan_source"].eqNullSafe(at["cut_source"]), "left").select(
         F.col("plan_source").alias("cut_source"), "source_size", "target", "epochs", "cut_key", "cut_words"
     )
+    return write_stage(found, "cuts")
 
 
 def _with_head(rows: DataFrame, size: str, key: str, doc_id: str) -> tuple[DataFrame, str]:
@@ -122,7 +126,7 @@ def mix_sources(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: floa
     """Per row: ``doc_id, size, source_size, target, taken``; ``taken`` counts repeats."""
     sizes = write_stage(sized(docs, doc_id, text, source), "sizes")
     plan = cuts(sizes, targets(sizes, weights, share, max_repeat))
-    rows = sizes.join(plan, sizes["source"].eqNullSafe(plan["cut_source"]))
+    rows = attach(sizes, plan, "source", "cut_source")
     taken, head = _with_head(rows, "size", "key", "doc_id")
     return taken.select("doc_id", "size", "source_size", "target", (F.col("epochs") * F.col("size") + F.col(head)).cast("bigint").alias("taken"))
 
@@ -131,12 +135,12 @@ def materialise(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: floa
     """The mixed documents, with the columns of ``docs``: a row per epoch, the last one's
     text cut after its words. A column ``n_chars``, if there is one, follows the text."""
     sizes = write_stage(sized(docs, doc_id, text, source), "sizes")
-    plan = write_stage(cuts(sizes, targets(sizes, weights, share, max_repeat)), "cuts")
+    plan = cuts(sizes, targets(sizes, weights, share, max_repeat))
     clash = {c: f"{c}__doc" for c in docs.columns if c.lower() in {p.lower() for p in (*plan.columns, "size", "key")}}
     rows = docs.withColumnsRenamed(clash)
     own = lambda c: clash.get(c, c)
     rows = rows.withColumns({"size": word_count(whole(own(text))), "key": mix_key(F.col(own(doc_id)))})
-    rows = rows.join(plan, rows[own(source)].eqNullSafe(plan["cut_source"]))
+    rows = attach(rows, plan, own(source), "cut_source")
     rows, head = _with_head(rows, "size", "key", own(doc_id))
     copies = F.when(F.col("size") > 0, F.concat(
         F.array_repeat(F.col("size"), F.col("epochs").cast("int")),
