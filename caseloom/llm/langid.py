@@ -9,6 +9,8 @@ Texts that are NULL or hold no letter are ``und`` with score 0. Repeated rows ar
 alike; ties go to the first name in order. Learning reads at most about ``per_language``
 rows of each language, drawn by a hash of the id; the features of every row use its whole
 text. With no labelled row everything is ``und``; with one language everything is that one.
+An empty table gives an empty result. Long texts are read whole; columns other than id, text and
+language are not looked at.
 """
 
 from __future__ import annotations
@@ -16,6 +18,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import combinations
+from multiprocessing.pool import ThreadPool
 
 import numpy as np
 import pandas as pd
@@ -23,6 +26,7 @@ from pyspark.ml.classification import LinearSVC
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.util import inheritable_thread_target
 
 from caseloom.llm.common import held_out, whole
 from caseloom.sources.sinks import write_stage
@@ -30,6 +34,8 @@ from caseloom.sources.sinks import write_stage
 UNKNOWN = "und"
 PER_LANGUAGE = 1500
 BINS = 2048
+#: Names of languages are part of the model; more are refused.
+MAX_LANGUAGES = 1000
 
 # Language families by ISO 639-1 code. Any other code is a family of its own.
 FAMILIES = {
@@ -129,10 +135,13 @@ def training_rows(docs: DataFrame, per_language: int = PER_LANGUAGE, doc_id: str
     """``text, lang`` of rows drawn by a hash of the id, about equally many per language."""
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.col(lang).alias("lang"))
     rows = rows.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out("doc_id"))
-    counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).withColumnRenamed("lang", "counted")
-    share = F.lit(float(per_language)) / F.col("n")
+    counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(MAX_LANGUAGES + 1).collect()
+    if len(counts) > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} values of {lang}: these are not languages")
+    rates = [F.lit(v) for r in counts for v in (r["lang"], per_language / r["n"])]
+    share = F.create_map(*rates)[F.col("lang")] if rates else F.lit(0.0)
     draw = F.pmod(F.xxhash64("doc_id", "lang"), F.lit(1_000_000)) / 1e6
-    return rows.join(counts, F.col("lang") == F.col("counted")).filter(draw < share).select("text", "lang")
+    return rows.filter(draw < share).select("text", "lang")
 
 
 def features(rows: DataFrame, keep: str) -> DataFrame:
@@ -148,14 +157,22 @@ def features(rows: DataFrame, keep: str) -> DataFrame:
     return rows.select("text", keep).mapInPandas(run, f"{keep} string, x array<float>")
 
 
-def _fit_pairs(rows: DataFrame, column: str, classes: list[str]) -> Pairwise:
-    planes = {}
-    for i, j in combinations(range(len(classes)), 2):
-        pair = rows.filter(F.col(column).isin(classes[i], classes[j]))
-        pair = pair.select("features", (F.col(column) == classes[i]).cast("double").alias("label"))
-        svm = LinearSVC(maxIter=25, regParam=1e-4, standardization=False).fit(pair)
-        planes[i, j] = (np.asarray(svm.coefficients.toArray(), dtype=np.float32), float(svm.intercept))
-    return Pairwise(classes, planes)
+def _fit_pairs(rows: DataFrame, column: str, classes: list[str], parallelism: int = 8) -> Pairwise:
+    """A plane for each pair of classes; the fits are independent jobs and run side by side."""
+
+    def plane(pair: tuple[int, int]) -> tuple[np.ndarray, float]:
+        one, two = classes[pair[0]], classes[pair[1]]
+        own = rows.filter(F.col(column).isin(one, two))
+        own = own.select("features", (F.col(column) == one).cast("double").alias("label"))
+        svm = LinearSVC(maxIter=25, regParam=1e-4, standardization=False).fit(own)
+        return np.asarray(svm.coefficients.toArray(), dtype=np.float32), float(svm.intercept)
+
+    pairs = list(combinations(range(len(classes)), 2))
+    if not pairs:
+        return Pairwise(classes, {})
+    with ThreadPool(min(parallelism, len(pairs))) as pool:
+        planes = pool.map(inheritable_thread_target(rows.sparkSession)(plane), pairs, chunksize=1)
+    return Pairwise(classes, dict(zip(pairs, planes, strict=True)))
 
 
 def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> Model | None:
