@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from caseloom.llm.common import fresh
+from caseloom.llm.common import fresh, join_heads
 from caseloom.sources.sinks import write_stage
 
 SLOTS = 1 << 20
@@ -315,10 +315,10 @@ def ngram_jaccard(docs: DataFrame, threshold: tuple[int, int] = (90, 100), n: in
     links = write_stage(jaccard_links(plain, rows, table, num, den, n, hot), "links")
     roots = write_stage(connect(links), "components")
     keys = ["sig1", "sig2", "size"]
-    classes = rows.groupBy(*keys).agg(F.min("doc_id").alias("rep"))
+    classes = rows.groupBy(*keys).agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("members"))
     classes = classes.join(roots.withColumnRenamed("node", "rep"), "rep", "left")
-    classes = classes.select(*keys, F.coalesce("root", "rep").alias("component_id"))
-    found = rows.join(classes, keys)
+    classes = classes.select(*keys, F.coalesce("root", "rep").alias("component_id"), "members")
+    found = join_heads(rows, write_stage(classes, "class-components"), keys, "members")
     own = F.when(F.col("size") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
     return found.select("doc_id", F.col("size").alias("n_shingles"), own.alias("component_id"))
 
@@ -347,5 +347,6 @@ def keep_one(docs: DataFrame, threshold: tuple[int, int] = (80, 100), n: int = 5
     once = named.join(marks, F.col(key) == F.col(own), "left_anti").select(*docs.columns)
     repeated = named.join(marks.filter(~F.col(near)).select(own), F.col(key) == F.col(own), "left_semi")
     whole_row = F.struct(*[F.col(c) for c in docs.columns])
-    repeated = repeated.groupBy(key).agg(F.min_by(whole_row, F.xxhash64(whole_row)).alias(row))
+    # As text, since maps have no hash of their own.
+    repeated = repeated.groupBy(key).agg(F.min_by(whole_row, F.xxhash64(F.to_json(whole_row))).alias(row))
     return once.unionByName(repeated.select(F.col(f"{row}.*")))
