@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import sys
 
 import numpy as np
@@ -86,6 +87,65 @@ def test_addresses_written_out(spark, n):
         assert at == ([(3, len(text) - 4)] if real else [])
 
 
+def test_very_many_matches_in_one_text(spark):
+    import time
+
+    n = 40_000
+    text = " ".join(f"a{i}@b.co 555-010-{i % 10000:04d}" for i in range(n // 2)) + " +1 212 555 0100"
+    df = spark.createDataFrame([(1, text), (2, "x")], "doc_id bigint, text string")
+    start = time.perf_counter()
+    row = plain(pii.digest(pii.detect(df)))[1]
+    assert time.perf_counter() - start < 120
+    assert row["n_email"] == n // 2 and row["n_phone"] == 1
+    assert row["base_sha256"] == brute.personal_digest(text)[1]
+
+
+def test_running_results(spark):
+    rows = [[], [5], list(range(64)), list(range(65)), [3, -1, 4] * 300]
+    df = spark.createDataFrame([(i, r) for i, r in enumerate(rows)], "i int, v array<int>")
+    got = df.select("i", pii.running(F.col("v"), lambda a, b: a + b).alias("s"), pii.running(F.col("v"), F.greatest).alias("m")).orderBy("i").collect()
+    for r, v in zip(got, rows, strict=True):
+        assert r["s"] == np.cumsum(v).tolist() and r["m"] == (np.maximum.accumulate(v).tolist() if v else [])
+
+
+def test_spans_apart(spark):
+    rng = np.random.default_rng(2)
+    rows = []
+    for i in range(60):
+        make = lambda k: [(int(s), int(s + rng.integers(1, 30))) for s in rng.integers(0, 400, k)]
+        rows.append((i, make(rng.integers(0, 90)), make(rng.integers(0, 40))))
+    df = spark.createDataFrame(rows, "i int, base array<struct<s:int,e:int>>, found array<struct<s:int,e:int>>")
+    got = {r["i"]: [tuple(x) for x in r["a"]] for r in df.select("i", pii.apart_from(F.col("base"), F.col("found")).alias("a")).collect()}
+    for i, base, found in rows:
+        assert got[i] == [x for x in found if not any(b[0] < x[1] and x[0] < b[1] for b in base)]
+
+
+@pytest.mark.parametrize("n", [400, 3000])
+def test_secrets(spark, n):
+    import hashlib
+
+    key = lambda i: hashlib.sha1(str(i).encode()).hexdigest()
+    rows = []
+    for i in range(n):
+        kind = i % 8
+        text = {
+            0: f'so token = "{key(i)}" went', 1: f"the api_key: {key(i)}, and", 2: "mail a@b.co or 10.0.0.1 today", 3: f"commit {key(i)} of the build",
+            4: "a plain text of no interest", 5: f"see some-long-title-of-a-page-{i}-and-more here", 6: f"password={key(i)[:32]}", 7: f"id 123e4567-e89b-12d3-a456-4266141740{i % 90 + 10}",
+        }[kind]
+        rows.append((i, text, kind in (0, 1, 6)))
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, secret boolean")
+    found = plain(pii.digest(pii.detect(df)))
+    for i, text, secret in rows:
+        r = found[i]
+        if secret and r["n_card"]:  # digits in the key that pass as a card, which a base rule keeps
+            continue
+        assert r["n_secret"] == int(secret), text
+        if secret:
+            start, end = r["spans"].split("secret:")[1].split(":")
+            assert len(text[int(start) : int(end)]) in (32, 40)
+        assert r["n_spans"] == len([x for x in r["spans"].split(",") if x])
+
+
 def test_exact_copies(odd):
     found = exact_dedup.exact_dedup(odd).collect()
     assert len(found) == len(odd_texts()) + 1
@@ -93,6 +153,66 @@ def test_exact_copies(odd):
     assert groups[1] == groups[2] == (1, 2) and groups[6] == groups[7] == (6, 3) and groups[3] == (3, 1)
 
 
+def test_answers_come_from_the_bucket_files(spark, tmp_path):
+    import pathlib
+
+    docs = spark.createDataFrame([(i, f"text {i % 400}") for i in range(1200)], "doc_id bigint, text string")
+    path = str(tmp_path / "index")
+    index = exact_dedup.build_index(docs, path, capacity=20, owners=4)
+    assert index.depth >= 4
+    held = index.entries.join(index.slots.select("bucket", "local_depth").distinct(), "bucket")
+    assert held.count() == 400  # every text in one bucket of the directory
+    # A bucket has one owner.
+    owners = index.entries.select("bucket", F.input_file_name().alias("file")).distinct()
+    assert owners.count() == owners.select("bucket").distinct().count()
+    entries = exact_dedup.write_stage(exact_dedup.fingerprints(docs), "entries")
+    whole = exact_dedup.probe(entries, index).collect()
+    assert all(r["keep_id"] == r["doc_id"] % 400 and r["group_size"] == 3 for r in whole)
+    files = sorted(pathlib.Path(path).glob("part-*.parquet"))
+    assert len(files) > 1
+    gone = {r["sha"] for r in spark.read.parquet(str(files[0])).collect()}
+    files[0].unlink()
+    spark.catalog.refreshByPath(path)
+    left = exact_dedup.probe(entries, index).collect()
+    assert {r["sha"] for r in left if r["keep_id"] is None} == gone
+    # So does a directory that leads elsewhere.
+    wrong = exact_dedup.Index(exact_dedup.write_stage(index.slots.withColumn("bucket", F.col("bucket") + 1), "slots"), index.depth, path, index.schema)
+    assert all(r["keep_id"] is None for r in exact_dedup.probe(entries, wrong).collect())
+
+
+@pytest.mark.parametrize(("hot", "limit"), [(2, 100), (2, 0), (1000, 100)])
+def test_rows_of_crowded_heads(spark, hot, limit):
+    from caseloom.llm import common
+
+    rows = exact_dedup.write_stage(spark.createDataFrame([(i, i % 7 if i > 50 else 3, "x") for i in range(200)], "i int, k int, salt string"), "rows")
+    heads = rows.groupBy("k").agg(F.min("i").alias("head"), F.count("i").alias("members")).filter("k <> 6")
+    got = common.join_heads(rows, exact_dedup.write_stage(heads, "heads"), ["k"], "members", hot, limit)
+    want = {r["k"]: r["head"] for r in heads.collect()}
+    assert sorted(got.columns) == ["head", "i", "k", "salt"]
+    assert sorted((r["i"], r["head"]) for r in got.collect() if True) == sorted((r["i"], want.get(r["k"])) for r in rows.collect())
+
+
+@pytest.mark.parametrize("limit", [100, 0])
+def test_rows_meet_their_plan(spark, limit):
+    from caseloom.llm import common
+
+    rows = spark.createDataFrame([(i, None if i % 5 == 0 else f"s{i % 3}", 1) for i in range(100)], "i int, s string, salt int")
+    plan = exact_dedup.write_stage(spark.createDataFrame([(None, 1), ("s0", 2), ("s1", 3)], "p string, n int"), "plan")
+    for how, n in (("inner", 100 - sum(i % 5 > 0 and i % 3 == 2 for i in range(100))), ("left", 100)):
+        got = common.attach(rows, plan, "s", "p", limit, how)
+        assert sorted(got.columns) == ["i", "n", "p", "s", "salt"]
+        found = got.collect()
+        assert len(found) == n and all(r["n"] == {None: 1, "s0": 2, "s1": 3, "s2": None}[r["s"]] for r in found)
+
+
+def test_keys_that_no_bit_tells_apart_stay(spark):
+    same = spark.range(40).select(F.col("id").alias("key"))  # alike in their first 58 bits
+    slots, depth = exact_dedup.build_directory(same, capacity=8)
+    assert depth == exact_dedup.DEEPEST
+    held = same.withColumn("slot", exact_dedup.slot(F.col("key"), depth)).join(slots, "slot")
+    assert held.count() == 40
+
+
 def test_directory_splits(spark):
     keys = spark.range(3000).select(F.xxhash64("id").alias("key"))
     slots, depth = exact_dedup.build_directory(keys, capacity=100)
@@ -124,6 +244,14 @@ def test_one_row_of_near_copies(spark):
     assert sorted(got, key=str) == sorted([(1, "a"), (None, "b"), (3, "c"), (3, "d"), (4, ""), (4, ""), (None, "")], key=str)
 
 
+def test_columns_of_any_type_are_kept(spark):
+    rows = [(i % 2, "one two three four five six", {"a": i}, [i]) for i in range(4)] + [(7, None, None, None)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, m map<string,int>, a array<int>")
+    kept = ngram_join.keep_one(df)
+    assert kept.schema.simpleString() == df.schema.simpleString()
+    assert sorted(r["doc_id"] for r in kept.collect()) == [0, 7]
+
+
 @pytest.mark.parametrize("hot", [1, 1000])
 def test_groups_with_and_without_pivots(spark, hot):
     rng = np.random.default_rng(3)
@@ -146,6 +274,70 @@ def test_quality(odd):
         assert tuple(found[i][n] for n in names) == brute.quality_counts(text)
 
 
+def exact_limits(rows, by, measure, min_group=100):
+    """The limits of one measure, from sorted values. rows: (lang, source, value)."""
+    at = lambda v, r: sorted(v)[max(0, math.ceil(r * len(v)) - 1)]
+    levels = [[v for x in rows if (x[0], x[1]) == by for v in x[2:]], [v for x in rows if x[0] == by[0] for v in x[2:]], [x[2] for x in rows]]
+    own = next((v for v in levels if len(v) >= min_group), levels[2])
+
+    def fence(v, rank):
+        way = abs(at(v, rank) - at(v, 0.5))
+        return at(v, 0.5) + (1 if rank > 0.5 else -1) * measure.reach * max(way, measure.floor)
+
+    if not measure.sparse:
+        return (fence(own, 0.1) if measure.low_side else -math.inf), fence(own, 0.9)
+    q = [at(own, 0.5 + i / 100) + measure.floor for i in range(51)]
+    ratios = [b / a for a, b in zip(q, q[1:], strict=False)]
+    if max(ratios) >= 3:
+        k = ratios.index(max(ratios))
+        return -math.inf, math.sqrt(q[k] * q[k + 1]) - measure.floor
+    some = [[x for x in v if x > 0] for v in levels]
+    if len(some[2]) < min_group / 5:
+        return -math.inf, measure.spare
+    return -math.inf, fence(next((v for v in some if len(v) >= min_group / 5), some[2]), 0.9)
+
+
+def test_limits_are_those_of_sorted_values(spark):
+    rng = np.random.default_rng(8)
+    rows = []
+    for lang, source, n, shift in (("en", "a", 150, 0.0), ("en", "b", 30, 0.5), ("de", "a", 40, 1.0), (None, "c", 120, 2.0), ("fr", None, 45, 0.2)):
+        for _ in range(n):
+            sparse = 0.0 if rng.random() < 0.9 else float(rng.choice([0.5, 2.0]) + rng.random())
+            few = 0.0 if rng.random() < 0.6 else float(0.05 + 0.2 * rng.random())
+            rows.append((lang, source, sparse, few, *map(float, rng.gamma(3, 0.01 + shift / 100, 3) + shift)))
+    names = [m.name for m in quality.MEASURES]
+    df = spark.createDataFrame(rows, "lang string, source string, " + ", ".join(f"{n} double" for n in names))
+    found = {(r["lang"], r["source"]): r for r in quality.limits(df.repartition(3)).collect()}
+    assert len(found) == 5
+    for by, r in found.items():
+        for i, m in enumerate(quality.MEASURES):
+            want = exact_limits([(x[0], x[1], x[2 + i]) for x in rows], by, m)
+            assert (r[f"{m.name}_low"], r[f"{m.name}_high"]) == pytest.approx(want), (by, m.name)
+
+
+def test_limits_follow_their_groups(spark, data):
+    found = quality.measures(spark.read.parquet("/root/testdata/sf0.1/documents.parquet"))
+    found = found.filter(~quality.base_failed(F.col("n_words"), F.col("n_repeat_words")))
+    rows = quality.limits(found).collect()
+    assert len(rows) == 80
+    for m in quality.MEASURES:
+        assert len({r[f"{m.name}_high"] for r in rows}) >= 4
+
+
+def test_kept_rows_are_those_within_the_limits(spark, data):
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    measured = quality.measures(docs)
+    rows = measured.collect()
+    base = {r["doc_id"]: bool(r["n_words"] < 10 or 100 * r["n_repeat_words"] > 20 * r["n_words"]) for r in rows}
+    bounds = {(r["lang"], r["source"]): r for r in quality.limits(measured.filter(~quality.base_failed(F.col("n_words"), F.col("n_repeat_words")))).collect()}
+    found = plain(quality.quality_filter(docs))
+    for r in rows:
+        limit = bounds.get((r["lang"], r["source"]))
+        outside = [m.name for m in quality.MEASURES if limit and not limit[f"{m.name}_low"] <= r[m.name] <= limit[f"{m.name}_high"]]
+        assert found[r["doc_id"]]["kept"] == (not base[r["doc_id"]] and not outside)
+        assert found[r["doc_id"]]["failed"] == ",".join(outside)
+
+
 def test_mixing_documents(odd):
     taken = sorted((r["doc_id"], r["taken"]) for r in mixing.mix_sources(odd).collect() if r["doc_id"] != 6)
     mixed = mixing.materialise(odd)
