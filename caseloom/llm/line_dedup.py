@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from caseloom.llm.common import SPACE, bind, fresh
+from caseloom.llm.common import SPACE, WORD, bind, fresh
 from caseloom.sources.sinks import write_stage
 
 MIN_SITES = 10
@@ -110,3 +110,12 @@ def dedup_lines(docs: DataFrame, min_sites: int = MIN_SITES, min_sites_long: int
         kind = docs.schema["n_chars"].dataType
         out = out.withColumn("n_chars", F.when(hit, F.length(text).cast(kind)).otherwise(F.col("n_chars")))
     return out.select(*docs.columns, *extra)
+
+
+def drop_emptied(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", site: str = "source") -> DataFrame:
+    """The documents without spread lines and without those that lost their last word by that.
+    Documents that had no word before, NULL ones among them, stay."""
+    lines, removed = fresh(docs, "n_lines", "n_removed")
+    cleaned = dedup_lines(docs, doc_id=doc_id, text=text, site=site, counts=(lines, removed))
+    emptied = (F.col(removed) > 0) & ~F.coalesce(F.col(text), F.lit("")).rlike(WORD)
+    return cleaned.filter(~emptied).select(*docs.columns)

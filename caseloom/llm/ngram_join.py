@@ -17,7 +17,10 @@
 
 Texts of fewer words than n are one n-gram; NULL texts and texts without words have none and
 link with nothing. Repeated rows form one class; ties in the order are broken by hash. A
-component is named by its smallest id (NULL ids lose).
+component is named by its smallest id (NULL ids lose). Rows of a class of many copies get their
+component without meeting in one place. Stars settle in a number of rounds that grows with the
+logarithm of the longest chain; after 60 rounds an error is raised, and nothing is returned. An
+empty table gives an empty result. Texts are read whole; other columns keep their names.
 """
 
 from __future__ import annotations
