@@ -17,10 +17,9 @@ documents.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from caseloom.llm import line_dedup, mixing, ngram_join, packing, toxicity
-from caseloom.llm.common import WORD, fresh, prepare, read
+from caseloom.llm.common import prepare, read
 from caseloom.sources.sinks import write_stage
 
 
@@ -37,10 +36,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_spread_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     prepare(spark)
-    names = fresh(docs, "n_lines", "n_removed")
-    cleaned = line_dedup.dedup_lines(docs, counts=(names[0], names[1]))
-    emptied = (F.col(names[1]) > 0) & ~F.col("text").rlike(WORD)
-    return cleaned.filter(~emptied | F.col("text").isNull()).select(*docs.columns)
+    return line_dedup.drop_emptied(docs)
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -66,7 +62,8 @@ STAGES = [
     ("packing", pack_sequences),
 ]
 
-#: Learned scores and tokenizers are beyond SQL; tests/llm holds the stages against plain Python.
+#: Learned scores and tokenizers are beyond SQL; tests/llm/test_pipeline.py holds every stage, and
+#: all of them in a row, against plain Python (the lexicon's verdict is taken as given).
 ORACLE_SQL = None
 
 
