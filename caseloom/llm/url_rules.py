@@ -7,7 +7,9 @@ is filed under its rarest token; URLs meet rules through that inverted index and
 fires when all of its tokens are there. Given rules come first; the longest that fits wins.
 
 A NULL URL, or one without ``://``, has an empty host and path; it matches no rule and is
-allowed. Repeated rows are judged alike. Without labels nothing is mined. Mining reads at
+allowed. Repeated rows are judged alike; a given rule stated twice with two verdicts speaks as it
+does last. An empty table gives an empty result. Very long URLs are read whole. Columns other than
+id, URL and label are not looked at. Without labels nothing is mined. Mining reads at
 most ``max_rows`` labelled rows, in order of a hash of the id, and all their frequent tokens;
 matching uses all tokens of all rows. Tokens that stand in the same labelled rows are mined
 as one: any of them gives the same counts, and rules that need only one of them fire wherever
