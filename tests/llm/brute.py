@@ -87,16 +87,16 @@ def pieces(docs, tokenizer, limit=4096):
     return out
 
 
-def shingles(text):
+def shingles(text, size=3):
     w = words("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
     if not w:
         return frozenset()
-    return frozenset([tuple(w)]) if len(w) < 3 else frozenset(zip(w, w[1:], w[2:], strict=False))
+    return frozenset([tuple(w)]) if len(w) < size else frozenset(tuple(w[k : k + size]) for k in range(len(w) - size + 1))
 
 
-def components(docs, num=90):
+def components(docs, num=90, size=3):
     """docs: (doc_id, text). Component by all pairs that share a shingle."""
-    sets = {i: shingles(t) for i, t in docs}
+    sets = {i: shingles(t, size) for i, t in docs}
     root = {i: i for i in sets}
 
     def find(i):
@@ -123,16 +123,49 @@ def components(docs, num=90):
     return {i: (len(sets[i]), find(i)) for i in ids}
 
 
-def spread_lines(docs, min_sites=10, min_sites_long=3, long_words=8, min_words=3):
+def one_of_near_copies(docs):
+    """docs: (doc_id, text, source) with ids of their own. The smallest id of each component over
+    five words at 80 in 100; documents without words stay."""
+    found = components([d[:2] for d in docs], 80, 5)
+    return [d for d in docs if found[d[0]][1] == d[0]]
+
+
+def mixed(docs):
+    """docs: (doc_id, text, source). The texts of the mix: whole ones by epochs, then the head."""
+    size, total, _, taken = mix(docs)
+    out = []
+    for i, text, source in docs:
+        if not size[i]:
+            continue
+        whole, head = divmod(taken[i], size[i])
+        out += [(i, text, source)] * whole
+        if head:
+            end = list(WORD.finditer(text))[head - 1].end()
+            out.append((i, text[:end], source))
+    return out
+
+
+def without_spread_lines(docs):
+    """docs: (doc_id, text, source). Spread lines go, and what has no word left by that."""
+    kept = spread_lines(docs)
+    return [(i, kept[i], s) for i, t, s in docs if kept[i] == t or words(kept[i])]
+
+
+def spread_lines(docs, min_sites=10, min_sites_long=3, long_words=8, min_words=3, min_sites_short=20):
     """docs: (doc_id, text, source). Texts without spread lines but their first occurrence."""
     sites, first = defaultdict(set), {}
     for i, t, s in sorted(docs):
         for k, line in enumerate((t or "").split("\n")):
             n = re.sub(r"[\x20\x09-\x0D]+", " ", line).strip(" ")
-            if n and len(n.split(" ")) >= min_words:
+            if n:
                 sites[n].add(s or "")
                 first.setdefault(n, (i, k))
-    bad = {n for n, s in sites.items() if len(s) >= (min_sites_long if len(n.split(" ")) >= long_words else min_sites)}
+
+    def needed(n):
+        many = len(n.split(" "))
+        return min_sites_short if many < min_words else min_sites_long if many >= long_words else min_sites
+
+    bad = {n for n, s in sites.items() if len(s) >= needed(n)}
     out = {}
     for i, t, _ in docs:
         if t is None:
