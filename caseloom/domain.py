@@ -29,8 +29,8 @@ MAX_DEPTHS = (3, 5, 20)
 KMEANS_RUNS = ((7, 1), (7, 3), (4, 1))  # (k, max_iter)
 LABEL_CUTOFF = 0.5
 SPINE_MONTHS = 6
-# -----------------------------------------------------------------------------
 
+# --- Fixed values: columns of the case table, and those that the analyses use ----
 CASE_SCHEMA = T.StructType(
     [
         T.StructField("case_month", T.StringType()),
@@ -87,3 +87,4 @@ DEATH_MODEL = FeatureSpec(
 
 CELL_KEYS = ("age_group_index", "sex", "case_month", "res_state", "race")
 CLUSTER_FEATURES = ("age_group_index", "death_count")
+# -----------------------------------------------------------------------------

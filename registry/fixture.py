@@ -6,6 +6,8 @@ tests only; a real case table has no key.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,7 +15,7 @@ from pyspark.sql import types as T
 
 from caseloom.domain import CASE_SCHEMA
 from caseloom.operators.clean import clean_cohort
-from caseloom.sources.sinks import save_table, stage_path
+from caseloom.sources.sinks import save_table, shared_folder
 
 CASES_SCHEMA = T.StructType([T.StructField("case_id", T.LongType()), *CASE_SCHEMA.fields])
 
@@ -65,16 +67,18 @@ def derive_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-# Application and source directory -> where the derived table was written.
-_WRITTEN: dict[tuple[str, str], str] = {}
+# Application, shared folder and source directory -> where the derived table was written.
+_WRITTEN: dict[tuple[str, str, str], str] = {}
 
 
 def cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The derived table, written once per application: the analyses start from a
-    stored case table, so their filters and columns reach a real scan."""
-    key = (spark.sparkContext.applicationId, sf_dir)
+    stored case table, so their filters and columns reach a real scan. It serves later queries
+    too, so no one who is writing stages at the time owns it."""
+    folder = shared_folder(spark)
+    key = (spark.sparkContext.applicationId, folder, sf_dir)
     if key not in _WRITTEN:
-        path = stage_path(spark, "cases")
+        path = f"{folder}/caseloom/cases-{uuid.uuid4().hex}"
         save_table(derive_cases(spark, sf_dir), path)
         _WRITTEN[key] = path
     return spark.read.schema(CASES_SCHEMA).parquet(_WRITTEN[key])

@@ -201,9 +201,12 @@ def _drawn() -> str:
         )
         left = f"left_{i}"
     last = D.FOLDS - 1
-    sums = " union all ".join(f"select {j} as fold, sum(fold_{j}) as n from dealt_{last - 1}" for j in range(last))
-    sums += f" union all select {last}, sum(left_{last - 1}) from dealt_{last - 1}"
-    return f"{MODEL}, {', '.join(parts)}, drawn as (select cast(fold as int) as fold, cast(n as bigint) as n from ({sums}))"
+    sums = " union all ".join(
+        f"select {j} as fold, sum({c}) as n, sum(case death_yn when 'Yes' then {c} else 0 end) as deaths from dealt_{last - 1}"
+        for j, c in enumerate([*[f"fold_{j}" for j in range(last)], f"left_{last - 1}"])
+    )
+    whole = "select cast(fold as int) as fold, cast(n as bigint) as n, cast(deaths as bigint) as deaths"
+    return f"{MODEL}, {', '.join(parts)}, drawn as ({whole} from ({sums}))"
 
 
 OUTCOME_OR_NULL = """case when sex in ('Male','Female') and hosp_yn in ('Yes','No') and death_yn in ('Yes','No')
@@ -434,6 +437,9 @@ select 'price' as x, 'price' as y, 1.0::double as r union all select 'balance',
 config(family, max_iter, threshold, min_instances, max_depth) as (values {_grid_rows()}),
 sizes as (select fold, count(*) as cases, count(*) filter (where death_yn = 'Yes') as deaths from folded group by fold)
 select config.*, fold, cases, deaths from config cross join sizes""",
+    "grid_support_random": f"""{_drawn()},
+config(family, max_iter, threshold, min_instances, max_depth) as (values {_grid_rows()})
+select config.*, fold, n as cases, deaths from config cross join drawn""",
     "fit_logistic_balance": f"{_gains()} select feature, level, in_rows as cases, in_positive as deaths, true as balanced from gains",
     "fit_tree_split": f"{_gains()} {_first_split(1)} union all {_first_split(1000)}",
     "fit_tree_gains": f"{_gains()} select feature, level, in_rows, in_positive, out_rows, out_positive, {_round('gain', 'gain')} from gains where out_rows > 0",

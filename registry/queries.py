@@ -514,6 +514,13 @@ def grid_support(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(*grid.CONFIG, "fold", n.alias("cases"), (F.col("fn") + F.col("tp")).alias("deaths"))
 
 
+def grid_support_random(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same over folds into which every case is drawn on its own."""
+    found = grid.grid_search(cohort(spark, sf_dir), how="random")
+    n = F.col("tn") + F.col("fn") + F.col("fp") + F.col("tp")
+    return found.select(*grid.CONFIG, "fold", n.alias("cases"), (F.col("fn") + F.col("tp")).alias("deaths"))
+
+
 # --- clusters -----------------------------------------------------------------
 
 
@@ -631,6 +638,7 @@ QUERIES: dict[str, Query] = {
         grid_summary,
         grid_best,
         grid_support,
+        grid_support_random,
         fit_kmeans,
         kmeans_profiles,
         kmeans_fixed_point,

@@ -173,6 +173,15 @@ def test_each_owner_removes_its_own(spark):
     assert len(stages_in(spark) - before) == 1
 
 
+def test_the_derived_case_table_outlives_a_run(spark, tmp_path):
+    from registry import fixture
+
+    with Stages(spark) as stages:
+        first = fixture.cases(spark, "/root/testdata/sf0.001/").count()  # a directory not yet derived
+        assert stages.paths == []
+    assert fixture.cases(spark, "/root/testdata/sf0.001/").count() == first
+
+
 def test_one_failure_does_not_keep_the_rest(spark, monkeypatch):
     from caseloom.sources import sinks
 
