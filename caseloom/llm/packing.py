@@ -301,7 +301,10 @@ def plan_packing(histogram: np.ndarray, limit: int = LIMIT) -> Plan:
 
 
 def _range(df: DataFrame, ranges: Column) -> Column:
-    return F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), ranges)
+    """A range by hash of the piece, and of the ``spot`` where it was written if it has one, so that
+    rows that are repeated very often are spread too."""
+    spot = ["spot"] if "spot" in df.columns else []
+    return F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", *spot), ranges)
 
 
 def ranked(pieces: DataFrame, counts: DataFrame, rows_per_range: int = ROWS_PER_RANGE) -> DataFrame:
@@ -318,7 +321,8 @@ def ranked(pieces: DataFrame, counts: DataFrame, rows_per_range: int = ROWS_PER_
 
 
 def assign(pieces: DataFrame, limit: int = LIMIT, rows_per_range: int = ROWS_PER_RANGE) -> DataFrame:
-    """Adds ``sequence_id`` and ``offset`` to ``doc_id, piece, start, length, ids_crc32``."""
+    """Adds ``sequence_id`` and ``offset`` to ``doc_id, piece, start, length, ids_crc32`` (a written
+    table, with or without a ``spot`` that tells equal rows apart)."""
     counts = write_stage(pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")), "lengths")
     histogram = np.zeros(limit + 1, dtype=np.int64)
     for row in counts.collect():  # at most one row per length
@@ -345,4 +349,5 @@ def assign(pieces: DataFrame, limit: int = LIMIT, rows_per_range: int = ROWS_PER
 
 def pack(docs: DataFrame, tokenizer: str, limit: int = LIMIT, end_id: int = END_ID, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Per piece: ``doc_id, piece, start, length, ids_crc32, sequence_id, offset``."""
-    return assign(write_stage(tokenize(docs, tokenizer, limit, end_id, doc_id, text), "pieces"), limit)
+    pieces = tokenize(docs, tokenizer, limit, end_id, doc_id, text).withColumn("spot", F.monotonically_increasing_id())
+    return assign(write_stage(pieces, "pieces"), limit)
