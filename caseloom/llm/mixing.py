@@ -29,9 +29,9 @@ MAX_REPEAT = 3
 ROWS_PER_RANGE = 2000
 
 
-def mix_key(doc_id: Column) -> Column:
-    """32 hexadecimal digits; their order is the random order."""
-    return F.md5(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary"))
+def mix_key(doc_id: Column, text: Column) -> Column:
+    """32 hexadecimal digits; their order is the random order. Rows without an id go by their text."""
+    return F.md5(F.coalesce(doc_id.cast("string"), F.concat(F.lit("text:"), whole(text))).cast("binary"))
 
 
 def sized(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
@@ -39,7 +39,7 @@ def sized(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: s
         F.col(doc_id).alias("doc_id"),
         F.col(source).alias("source"),
         word_count(whole(text)).alias("size"),
-        mix_key(F.col(doc_id)).alias("key"),
+        mix_key(F.col(doc_id), F.col(text)).alias("key"),
     )
 
 
@@ -139,7 +139,7 @@ def materialise(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: floa
     clash = {c: f"{c}__doc" for c in docs.columns if c.lower() in {p.lower() for p in (*plan.columns, "size", "key")}}
     rows = docs.withColumnsRenamed(clash)
     own = lambda c: clash.get(c, c)
-    rows = rows.withColumns({"size": word_count(whole(own(text))), "key": mix_key(F.col(own(doc_id)))})
+    rows = rows.withColumns({"size": word_count(whole(own(text))), "key": mix_key(F.col(own(doc_id)), F.col(own(text)))})
     rows = attach(rows, plan, own(source), "cut_source")
     rows, head = _with_head(rows, "size", "key", own(doc_id))
     copies = F.when(F.col("size") > 0, F.concat(
