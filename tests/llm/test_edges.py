@@ -348,6 +348,30 @@ def test_mixing_documents(odd):
     assert {i: n for i, n in taken if n} == {i: n for i, n in words.items() if i != 6}
 
 
+def test_mixing_rows_without_ids(spark):
+    rows = [(None, f"text {i} of some words", "a") for i in range(200)] + [(None, None, "a"), (None, "", "b"), (3, "one two", "b")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    keys = mixing.sized(df).select("key").distinct().count()
+    assert keys == 202
+    found = mixing.mix_sources(df).collect()
+    target = {r["source_size"]: r["target"] for r in found}
+    assert sum(r["taken"] for r in found) == sum(int(t) for t in target.values())
+    assert sum(len(brute.words(r["text"])) for r in mixing.materialise(df).collect()) == sum(r["taken"] for r in found)
+
+
+def test_packing_a_row_repeated_very_often(spark):
+    rows = [(7, "always the same words")] * 5000 + [(i, f"other {i}") for i in range(100)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    found = packing.pack(df, Q.tokenizer_path()).collect()
+    assert len(found) == 5100 and len({(r["sequence_id"], r["offset"]) for r in found}) == 5100
+    pieces = packing.tokenize(df, Q.tokenizer_path()).withColumn("spot", F.monotonically_increasing_id())
+    pieces = exact_dedup.write_stage(pieces, "pieces")
+    spread = packing.ranked(pieces, exact_dedup.write_stage(pieces.groupBy("length").agg(F.count("*").alias("n")), "n"), rows_per_range=500)
+    assert spread.groupBy("length").agg(F.count_distinct("rank") == F.count("rank")).filter("not (count(DISTINCT rank) = count(rank))").count() == 0
+    held = pieces.select(packing._range(pieces, F.lit(10)).alias("r")).groupBy("r").count().agg(F.max("count")).first()[0]
+    assert held < 1000
+
+
 def test_packing(odd):
     rows = packing.pack(odd, Q.tokenizer_path()).collect()
     from tokenizers import Tokenizer
