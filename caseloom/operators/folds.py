@@ -131,11 +131,6 @@ def random_folds(tallied: DataFrame, k: int = D.FOLDS, seed: int = D.SPLIT_SEED,
     return dealt.filter(F.col(rows) > 0).select(*columns, rows, "fold")
 
 
-def key_folds(df: DataFrame, keys: Sequence[str], k: int = D.FOLDS) -> DataFrame:
-    """For tables that do have a key: ``fold`` from its hash, stable and local."""
-    return df.withColumn("fold", F.pmod(F.xxhash64(*keys), F.lit(k)).cast("int"))
-
-
 def content_offset(columns: Sequence[str], k: int) -> Column:
     """A number below ``k`` that depends on the values of a row only."""
     text = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("<null>")) for c in columns])
@@ -143,6 +138,12 @@ def content_offset(columns: Sequence[str], k: int) -> Column:
     return F.pmod(head, F.lit(k))
 
 
+def key_folds(df: DataFrame, keys: Sequence[str], k: int = D.FOLDS) -> DataFrame:
+    """For tables that do have a key: ``fold`` from its checksum, stable, local, and the same in any
+    engine."""
+    return df.withColumn("fold", content_offset(keys, k).cast("int"))
+
+
 def stratified_folds(tallied: DataFrame, k: int = D.FOLDS, rows: str = "rows") -> DataFrame:
     """Deal each kind of row of a :func:`tally` over ``k`` folds as evenly as can be.
 

@@ -1,8 +1,8 @@
 """ANSI SQL (DuckDB dialect) for every query that SQL can express.
 
-Left out: parts by Spark's hash (``folds_by_key``; its properties are checked), predictions and
-centers of models that a solver stops early (``fit_logistic``, ``fit_svc``, ``fit_tree``,
-``fit_kmeans``, ``kmeans_profiles``) and the grid over them (``grid_summary``, ``grid_best``). What
+Left out: predictions and centers of models that a solver stops early (``fit_logistic``,
+``fit_svc``, ``fit_tree``, ``fit_kmeans``, ``kmeans_profiles``) and the grid over them
+(``grid_summary``, ``grid_best``). What
 must hold of fitted models is checked by the ``fit_*`` and ``kmeans_*`` queries named below.
 """
 
@@ -393,6 +393,9 @@ valid as (select * from cohort where case_positive_specimen_interval >= 0 and ca
     "death_cells_tally": f"{CELLS} select * from cells",
     "split_random": f"{_drawn()} select n as rows, fold as part from drawn",
     "folds_random": f"{_drawn()} select fold, cast((select sum(n) from drawn) - n as bigint) as train_rows, n as test_rows from drawn",
+    "folds_by_key": f"""{WITH_COHORT},
+folded as (select cast(cast('0x' || substring(md5(cast(case_id as varchar)), 1, 8) as bigint) % {D.FOLDS} as int) as fold from cohort)
+select fold, (select count(*) from folded) - count(*) as train_rows, count(*) as test_rows from folded group by fold""",
     "folds_random_properties": FOLD_PROPERTIES,
     "folds_by_key_properties": FOLD_PROPERTIES,
     "split_random_union": f"{MODEL} select * from model",
