@@ -133,7 +133,7 @@ def linear_rows(table: DataFrame, total: int, resolution: int = RESOLUTION) -> D
     return split_heavy(table, "cases", heaviest_row(total, resolution))
 
 
-def _packed(df: DataFrame, rows: int) -> DataFrame:
+def packed(df: DataFrame, rows: int) -> DataFrame:
     """A table of so many rows in as few partitions as hold ``ROWS_PER_TASK`` each: an
     iteration of a solver is one small job, and every task in it has its price."""
     return df.coalesce(max(1, math.ceil(rows / ROWS_PER_TASK)))
@@ -159,12 +159,12 @@ def fit_grid(
 ) -> dict[Fit, Model]:
     """Fit every model of the grid on the training part of every fold, the longest fits first."""
     k = len(folds.sizes)
-    table = _packed(folds.table, folds.rows).persist()
+    table = packed(folds.table, folds.rows).persist()
     if folds.heaviest <= heaviest_row(folds.total, resolution):  # nothing to unfold
         linear = table
     else:
         unfolded = min(folds.total, folds.rows + resolution)
-        linear = _packed(linear_rows(folds.table, folds.total, resolution), unfolded).persist()
+        linear = packed(linear_rows(folds.table, folds.total, resolution), unfolded).persist()
     tree_train = {i: train for i, train, _ in fold_pairs(table, k)}
     linear_train = {i: train for i, train, _ in fold_pairs(linear, k)}
 

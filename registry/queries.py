@@ -418,7 +418,7 @@ class Training:
 
     @property
     def linear(self) -> DataFrame:
-        return grid.linear_rows(self.coded, self.total)
+        return grid.packed(grid.linear_rows(self.coded, self.total), min(self.total, grid.RESOLUTION))
 
 
 def _training(people: DataFrame, spec: FeatureSpec = D.DEATH_MODEL) -> Training:
@@ -483,7 +483,7 @@ def fit_tree_gains(spark: SparkSession, sf_dir: str) -> DataFrame:
 def fit_svc_optimal(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether no plane close to the fitted one has a smaller hinge loss."""
     t = _training(cohort(spark, sf_dir))
-    model = classify.fit_svc(t.linear, 300, 0.0, "cases", tol=1e-10)
+    model = classify.fit_svc(t.linear, 100, 0.0, "cases", tol=1e-8)
     planes = audit.close_planes(model.coefficients.toArray(), model.intercept, 0.05)
     fitted, *others = audit.hinge_objectives(t.coded, t.encoder, planes)
     return spark.range(1).select(F.lit(all(o >= fitted - 1e-4 for o in others)).alias("no_closer_plane_is_better"))
