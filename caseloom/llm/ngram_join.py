@@ -30,7 +30,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from caseloom.llm.common import fresh, join_heads
@@ -254,11 +254,10 @@ def connect(links: DataFrame, rounds: int = 60) -> DataFrame:
     return nodes.unionByName(nodes.select(F.col("root").alias("node"), "root").distinct())
 
 
-def _filters(num: int, den: int, left: str, right: str):
-    """Length and positional filter for a shared n-gram at positions ``pos`` of two sets. The
-    first n-gram that similar sets share always passes."""
-    size_a, size_b = F.col(f"{left}.size"), F.col(f"{right}.size")
-    rest = F.least(size_a - F.col(f"{left}.pos"), size_b - F.col(f"{right}.pos"))
+def _filters(num: int, den: int, size_a: Column, pos_a: Column, size_b: Column, pos_b: Column) -> Column:
+    """Length and positional filter for a shared n-gram at positions of two sets. The first n-gram
+    that similar sets share always passes."""
+    rest = F.least(size_a - pos_a, size_b - pos_b)
     length = (den * size_a >= num * size_b) & (den * size_b >= num * size_a)
     return length & ((num + den) * rest >= num * (size_a + size_b))
 
@@ -274,16 +273,19 @@ def jaccard_links(docs: DataFrame, classes: DataFrame, table: np.ndarray, num: i
     held = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     tokens = write_stage(tokens.join(held, "token"), "shared-prefixes")
 
-    # Counts alone go through the large shuffle; pivots are chosen among the hot n-grams.
-    pivots = tokens.filter(F.col("n") > hot).groupBy("token").agg(F.min(F.struct("pos", "doc_id", "size")).alias("p"))
-    pivots = pivots.select("token", F.col("p.doc_id").alias("doc_id"), F.col("p.size").alias("size"), F.col("p.pos").alias("pos"))
-    one, two = pivots.alias("x"), tokens.filter(F.col("n") > hot).alias("y")
-    on = (F.col("x.token") == F.col("y.token")) & (F.col("x.doc_id") != F.col("y.doc_id")) & _filters(num, den, "x", "y")
-    ids = (F.least("x.doc_id", "y.doc_id").alias("a"), F.greatest("x.doc_id", "y.doc_id").alias("b"))
-    first = write_stage(one.join(two, on).select(*ids).distinct(), "pivot-pairs")
+    # Counts alone go through the large shuffle; pivots are chosen among the hot n-grams. Holders of
+    # the hottest ones get their pivot where they lie.
+    held_hot = tokens.filter(F.col("n") > hot)
+    pivots = held_hot.groupBy("token").agg(F.min(F.struct("pos", "doc_id", "size")).alias("p"), F.max("n").alias("members"))
+    pivots = pivots.select("token", F.col("p.doc_id").alias("p_doc"), F.col("p.size").alias("p_size"), F.col("p.pos").alias("p_pos"), "members")
+    pivots = write_stage(pivots, "pivots")
+    met = join_heads(held_hot, pivots, ["token"], "members")
+    on = (F.col("doc_id") != F.col("p_doc")) & _filters(num, den, F.col("p_size"), F.col("p_pos"), F.col("size"), F.col("pos"))
+    ids = (F.least("p_doc", "doc_id").alias("a"), F.greatest("p_doc", "doc_id").alias("b"))
+    first = write_stage(met.filter(on).select(*ids).distinct(), "pivot-pairs")
     near = write_stage(verify(first, _sets_of(docs, first, n), num, den), "pivot-links")
     # Documents similar to one pivot are connected; they carry its name.
-    pivot = pivots.select(F.col("doc_id").alias("pivot")).distinct()
+    pivot = pivots.select(F.col("p_doc").alias("pivot")).distinct()
     ends = near.unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b")))
     roots = ends.join(pivot, F.col("a") == F.col("pivot")).groupBy(F.col("b").alias("doc_id")).agg(F.min("a").alias("root"))
     roots = pivot.select(F.col("pivot").alias("doc_id"), F.col("pivot").alias("own")).join(roots, "doc_id", "full")
@@ -292,7 +294,8 @@ def jaccard_links(docs: DataFrame, classes: DataFrame, table: np.ndarray, num: i
     marked = tokens.join(roots, "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
     marked = write_stage(marked, "marked-prefixes")
     one, two = marked.alias("x"), marked.alias("y")
-    on = (F.col("x.token") == F.col("y.token")) & (F.col("x.doc_id") < F.col("y.doc_id")) & (F.col("x.root") != F.col("y.root")) & _filters(num, den, "x", "y")
+    on = (F.col("x.token") == F.col("y.token")) & (F.col("x.doc_id") < F.col("y.doc_id")) & (F.col("x.root") != F.col("y.root"))
+    on = on & _filters(num, den, F.col("x.size"), F.col("x.pos"), F.col("y.size"), F.col("y.pos"))
     pairs = one.join(two, on).select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).distinct()
     pairs = write_stage(pairs.join(first, ["a", "b"], "left_anti"), "pairs")
     return near.unionByName(verify(pairs, _sets_of(docs, pairs, n, "merge"), num, den))
