@@ -28,6 +28,7 @@ from itertools import islice
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -162,21 +163,23 @@ def tokenize(docs: DataFrame, tokenizer: str, limit: int = LIMIT, end_id: int =
     kind = plain.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint" + (", ids binary" if with_ids else "")
 
-    def pieces(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = task_ids(tokenizer)
-        for frame in frames:
+        for batch in batches:
             rows: list[tuple] = []
-            for key, body in zip(frame["doc_id"].to_numpy(), frame["text"], strict=True):
-                ids = words.of(body) + end
+            for k, body in enumerate(batch.column(1)):  # one text at a time as a string
+                ids = words.of(body.as_py()) + end
                 for n, at in enumerate(range(0, len(ids), width)):
                     part = ids[at : at + width]
-                    rows.append((key, n, at // 4, len(part) // 4, zlib.crc32(part)) + ((part,) if with_ids else ()))
-            names = ["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * with_ids
-            out = pd.DataFrame(rows, columns=names)
-            out["doc_id"] = out["doc_id"].astype(frame["doc_id"].dtype)
-            yield out
-
-    return plain.mapInPandas(pieces, schema)
+                    rows.append((k, n, at // 4, len(part) // 4, zlib.crc32(part)) + ((part,) if with_ids else ()))
+            if rows:
+                k, *columns = zip(*rows, strict=True)
+                types = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+                arrays = [pa.array(c, t) for c, t in zip(columns, types, strict=False)]
+                names = ["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * with_ids
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(k, pa.int32())), *arrays], names)
+
+    return plain.mapInArrow(pieces, schema)
 
 
 @dataclass
