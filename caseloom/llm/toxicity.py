@@ -33,6 +33,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
@@ -331,11 +332,15 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD,
     lexicon = fit(docs, labels, max_rows, doc_id, text)
     a, b, c = lexicon.curve
 
-    @F.pandas_udf("double")
-    def scores(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("double")
+    def scores(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         matcher = Matcher(lexicon)
-        for series in texts:
-            pairs = [strength(matcher.weight(t), len(t)) for t in series]
-            yield pd.Series([1 / (1 + math.exp(-(a + b * x + c * y))) for x, y in pairs], dtype=float)
+
+        def score_of(text: str) -> float:
+            x, y = strength(matcher.weight(text), len(text))
+            return 1 / (1 + math.exp(-(a + b * x + c * y)))
+
+        for batch in texts:  # one text at a time as a string
+            yield pa.array([score_of(t.as_py()) for t in batch], pa.float64())
 
     return docs.filter(scores(whole(text)) < threshold)
