@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import json
 import re
+import struct
 import sys
 import zlib
 from collections.abc import Iterator
@@ -38,10 +39,13 @@ from caseloom.sources.sinks import write_stage
 LIMIT = 4096
 END_ID = 1
 ROWS_PER_RANGE = 1000
-#: Bytes that a task spends on remembered words, and on parts of words; beyond it the older half goes.
-MEMORY_BYTES = 48 << 20
-#: Letters that lower-case one by one and never combine, then marks that never join letters.
-_PLAIN_WORD = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([.,;:!?#*$%&|<>()-]*)")
+#: Bytes that a task spends on remembered parts of words; beyond it the older half goes.
+MEMORY_BYTES = 64 << 20
+#: Letters that lower-case one by one and never combine, marks that never join letters, and spaces.
+_LETTERS, _MARKS, _SPACES = r"A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff", r".,;:!?#*$%&|<>()-", r" \t\n\x0b\x0c\r"
+_PLAIN = re.compile(f"[{_LETTERS}{_SPACES}{_MARKS}]*")
+_PART = re.compile(f"[{_LETTERS}]+|[{_MARKS}]+")
+_WORD = re.compile(f"[^{_SPACES}]+")
 
 # The steps of a tokenizer whose ids of a text are those of its words.
 WORD_STEPS = {
@@ -95,7 +99,8 @@ class Memory(dict):
 
 
 def encoded(tokenizer, text: str) -> bytes:
-    return np.asarray(tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+    ids = tokenizer.encode(text, add_special_tokens=False).ids
+    return struct.pack(f"<{len(ids)}I", *ids)
 
 
 class WholeIds:
@@ -111,42 +116,40 @@ class WholeIds:
 
 
 class WordIds(Memory):
-    """The same for a tokenizer of :data:`WORD_STEPS`: no token spans two words, so a text's ids
-    are those of its words, and a plain word's are those of its letters and its marks."""
+    """The same for a tokenizer of :data:`WORD_STEPS`: no token spans two words, nor letters and
+    marks, so the ids of plain text are those of its runs of letters and of marks. Remembers ids by
+    such run; words of other characters are encoded whole, with a memory of their own."""
 
     def __init__(self, path: str, limit: int = MEMORY_BYTES):
         super().__init__(limit)
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        # For single parts in lower case: the same merges without the regular expressions.
-        self.bare = Tokenizer(self.tokenizer.model)
-        self.bare.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.model = self.tokenizer.model  # reads ASCII as it is
-        self.parts = Memory(limit // 2)
-
-    def part(self, text: str) -> bytes:
-        found = self.parts.get(text)
-        if found is not None:
-            return found
-        if text.isascii():
-            return self.parts.put(text, np.asarray([t.id for t in self.model.tokenize(text)], dtype="<u4").tobytes())
-        return self.parts.put(text, encoded(self.bare, text))
-
-    def __missing__(self, word: str) -> bytes:
-        if not word:
-            return b""
-        plain = _PLAIN_WORD.fullmatch(word)
-        if plain is None:
-            return self.put(word, encoded(self.tokenizer, word))
-        letters, marks = plain.groups()
-        ids = self.part(letters.lower())
-        return self.put(word, ids + self.part(marks) if marks else ids)
+        # For runs beyond ASCII, in lower case: the same merges without the regular expressions.
+        self.bare = Tokenizer(self.model)
+        self.bare.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.odd = Memory(limit // 4)
+
+    def __missing__(self, part: str) -> bytes:
+        if part.isascii():
+            ids = [t.id for t in self.model.tokenize(part)]
+            return self.put(part, struct.pack(f"<{len(ids)}I", *ids))
+        return self.put(part, encoded(self.bare, part))
+
+    def plain(self, text: str) -> bytes:
+        return b"".join(map(self.__getitem__, _PART.findall(text.lower())))
+
+    def word(self, word: str) -> bytes:
+        if _PLAIN.fullmatch(word) and "<|" not in word:  # signs that may name an added token
+            return self.plain(word)
+        found = self.odd.get(word)
+        return self.odd.put(word, encoded(self.tokenizer, word)) if found is None else found
 
     def of(self, text: str) -> bytes:
-        for space in "\t\n\x0b\x0c\r":
-            text = text.replace(space, " ")
-        return b"".join(map(self.__getitem__, text.split(" ")))
+        if _PLAIN.fullmatch(text) and "<|" not in text:
+            return self.plain(text)
+        return b"".join(map(self.word, _WORD.findall(text)))
 
 
 def task_ids(path: str) -> WordIds | WholeIds:
