@@ -21,6 +21,9 @@ ROWS_PER_RANGE = 500_000
 #: Steps of rank at which a sketch is asked, and by how many of them a threshold lies beyond the
 #: wanted rank: more than the error of the sketch.
 STEPS, SLACK = 200, 4
+#: Keys that Spark samples for the bounds of all ranges together, at most about.
+SAMPLED_KEYS = 100_000
+_SAMPLE_CONF = "spark.sql.execution.rangeExchange.sampleSizePerPartition"
 
 _RANGE, _TIE, _BASE, _SIZE, _PLACE = "_range", "_tie", "_base", "_size", "_place"
 
@@ -34,7 +37,14 @@ def ranged(df: DataFrame, order: Sequence[str | Column], rows: int, rows_per_ran
     ``_tie`` that ends the order."""
     parts = max(1, math.ceil(rows / rows_per_range))
     dealt = df.withColumn(_TIE, F.rand(1)).repartitionByRange(parts, *_order(order), F.col(_TIE))
-    return write_stage(dealt.withColumn(_RANGE, F.spark_partition_id()), "ranges")
+    # Spark samples a number of keys per range for the bounds, all sent to the driver; so many
+    # keys in all, whatever the number of ranges. Counts, not the sample, give the positions.
+    conf, was = df.sparkSession.conf, df.sparkSession.conf.get(_SAMPLE_CONF, None)
+    conf.set(_SAMPLE_CONF, str(max(1, SAMPLED_KEYS // parts)))
+    try:
+        return write_stage(dealt.withColumn(_RANGE, F.spark_partition_id()), "ranges")
+    finally:
+        conf.unset(_SAMPLE_CONF) if was is None else conf.set(_SAMPLE_CONF, was)
 
 
 def range_bases(stage: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime as dt
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from caseloom.operators import clean, order
@@ -96,3 +97,17 @@ def test_reports_come_in_their_order(spark, data, name):
         want = [dict(zip(columns, r, strict=True)) for r in result.fetchall()]
     got = [r.asDict() for r in QUERIES[name](spark, data).collect()]
     assert [list(map(str, (r[c] for c in columns))) for r in got] == [list(map(str, (r[c] for c in columns))) for r in want]
+
+
+def test_range_sample_is_bounded(spark, table, monkeypatch):
+    """Keys sampled for the bounds, all sent to the driver, do not grow with the number of
+    ranges; positions stay exact and the session's setting comes back."""
+    seen = []
+    write = order.write_stage
+    monkeypatch.setattr(order, "write_stage", lambda df, name: seen.append(spark.conf.get(order._SAMPLE_CONF, None)) or write(df, name))
+    monkeypatch.setattr(order, "SAMPLED_KEYS", 100)
+    got = order.with_position(table, ["i"], rows_per_range=10)  # 500 ranges
+    assert seen == ["1"]
+    assert spark.conf.get(order._SAMPLE_CONF, None) in (None, "100")
+    want = table.withColumn("position", F.row_number().over(Window.orderBy("i")))
+    assert told(got.select("i", "position").collect()) == told(want.select("i", "position").collect())
