@@ -152,11 +152,19 @@ class WordIds(Memory):
         return b"".join(map(self.word, _WORD.findall(text)))
 
 
+#: Encoders by tokenizer path, kept by the Python worker from task to task, so that the runs one
+#: task has met are not encoded again by the next; each memory stays bounded in bytes.
+_ENCODERS: dict[str, WordIds | WholeIds] = {}
+
+
 def task_ids(path: str) -> WordIds | WholeIds:
-    """What a task encodes with; it ends with the task."""
-    with open(path, encoding="utf-8") as described:
-        by_words = splits_at_words(described.read())
-    return WordIds(path) if by_words else WholeIds(path)
+    """What a task encodes with; a worker that Spark reuses keeps it for its next tasks."""
+    found = _ENCODERS.get(path)
+    if found is None:
+        with open(path, encoding="utf-8") as described:
+            by_words = splits_at_words(described.read())
+        found = _ENCODERS[path] = WordIds(path) if by_words else WholeIds(path)
+    return found
 
 
 def tokenize(docs: DataFrame, tokenizer: str, limit: int = LIMIT, end_id: int = END_ID, doc_id: str = "doc_id", text: str = "text", with_ids: bool = False) -> DataFrame:

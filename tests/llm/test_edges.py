@@ -411,6 +411,15 @@ def test_remembered_words_are_bounded_in_bytes():
     assert words.size == sum(110 + sys.getsizeof(k) + sys.getsizeof(v) for k, v in words.items())
 
 
+def test_tasks_of_one_worker_share_the_memory_of_runs():
+    """A later task of the same Python worker finds the runs an earlier one met, with the same ids."""
+    text = "Alpha beta, gamma. Ünder"
+    packing.task_ids(Q.tokenizer_path()).of(text)
+    later = packing.task_ids(Q.tokenizer_path())
+    assert {"alpha", "beta", ",", "gamma", ".", "ünder"} <= set(later)
+    assert later.of(text) == packing.WholeIds(Q.tokenizer_path()).of(text)
+
+
 def test_plan_uses_every_piece():
     rng = np.random.default_rng(1)
     histogram = np.bincount(np.clip(rng.lognormal(6.5, 1, 20_000).astype(int), 1, 4096), minlength=4097)
